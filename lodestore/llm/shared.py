@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestore.session import ship
+
 #: Rows that one Arrow batch holds at most; with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1000
 
@@ -52,7 +54,8 @@ def unstash(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that Python workers get."""
+    """Bounds the Arrow batches that Python workers get, and lets the workers import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
