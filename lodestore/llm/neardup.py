@@ -18,6 +18,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: A pair whose signatures agree in fewer places than this is below similarity 0.8 but for one case in 10 million.
 LEAST_AGREEING = int(0.6 * HASHES)
+#: Nodes of one side of a group that compares what the components leave open.
+BLOCK = 128
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -115,6 +117,47 @@ def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
     return full.select("u", "v", "iu", "iv").mapInArrow(_linked(percent), "u long, v long")
 
 
+def _between(others: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the nodes ``others(main, node, comp)`` and those of their component ``main`` or of each other.
+
+    Both sides are cut into blocks of about BLOCK nodes; each pair of blocks is one group, which counts shared items by
+    an inverted list and returns one link for a node and component at most.
+    """
+    mains = others.select("main").distinct()
+    inside = comp.join(mains, comp["component"] == mains["main"]).select("main", "node", F.col("main").alias("comp"))
+    all_ = inside.union(mains.select("main", F.col("main").alias("node"), F.col("main").alias("comp"))).union(others).distinct()
+    blocks = lambda n: F.ceil(F.count("*") / BLOCK).cast("int").alias(n)
+    shape = others.groupBy("main").agg(blocks("rows")).join(all_.groupBy("main").agg(blocks("cols")), "main")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = others.join(shape, "main").select("main", "node", "comp", F.lit(True).alias("asks"), part("rows").alias("r"), each("cols").alias("c"))
+    right = all_.join(shape, "main").select("main", "node", "comp", F.lit(False).alias("asks"), each("rows").alias("r"), part("cols").alias("c"))
+    placed = left.union(right).join(sets, "node").select("main", "r", "c", "asks", "node", "comp", "items")
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        nodes, comps = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items").combine_chunks()]
+        cols = np.flatnonzero(~asks)
+        sizes = np.array([len(items[i]) for i in cols])
+        every = np.concatenate([items[i] for i in cols]) if len(cols) else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(cols)), sizes)[order]
+        found = []
+        for i in np.flatnonzero(asks):
+            x = items[i]
+            lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+            hits = hi - lo
+            at = np.repeat(lo - np.append(0, np.cumsum(hits)[:-1]), hits) + np.arange(hits.sum())
+            shared = np.bincount(owner[at], minlength=len(cols))
+            near = (100 * shared >= percent * (len(x) + sizes - shared)) & (comps[cols] != comps[i])
+            _, first = np.unique(comps[cols][near], return_index=True)
+            found += [(int(nodes[i]), int(nodes[cols[j]])) for j in np.flatnonzero(near)[first]]
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return placed.groupBy("main", "r", "c").applyInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``.
 
@@ -150,13 +193,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     comp = components(links)
     left = met.where("n > 2").select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     left = stash(left, "left")
-    by_comp = left.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    most = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1").select("key", "main")
-    open_ = left.join(most, "key")
-    others = open_.where("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    rest = others.join(left.select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
-    rest = rest.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-    more = stash(_verified(rest, nodes, sets, percent), "verified")
+    most = left.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
+    others = stash(left.join(most, "key").where("comp <> main").select("main", "node", "comp").distinct(), "others")
+    more = stash(_between(others, comp, sets, percent), "between")
     if more.limit(1).count():
         comp = components(links.union(more))
 
