@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestore.llm.ann import nearest
 from lodestore.llm.decontam import contamination
+from lodestore.llm.licenses import license_scan
 from lodestore.llm.linededup import drop_boilerplate
 from lodestore.llm.mixing import mix_sources
 from lodestore.llm.neardup import near_duplicates
+from lodestore.llm.quality import quality
 from lodestore.llm.shared import held_out
 from lodestore.llm.toxicity import toxicity
+from lodestore.llm.urlfilter import filter_urls, list_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages; as the table has no fetch time, page_id deals them out over the days of two years."""
+    pages = _table(spark, sf_dir, "pages")
+    fetched = F.expr("timestamp '2023-10-01 00:00:00' + make_interval(0, 0, 0, cast(pmod(page_id * 7919, 600) as int), cast(pmod(page_id, 24) as int))")
+    out = filter_urls(pages.select("page_id", "url", fetched.alias("fetched")), list_table(spark))
+    return out.select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd HH:mm:ss").alias("fetched"), "pattern", "action", F.date_format("since", "yyyy-MM-dd").alias("since"), "blocked")
+
+
+def op4_ann_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -40,16 +57,34 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    starts, base = F.transform("places", lambda p: p["start"]), F.transform("places", lambda p: p["label"])
+    added = F.transform("matches", lambda m: m["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    score = F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, added)).alias("labels"), score.alias("score"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_ann_collision_counting": op4_ann_collision_counting,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_license_scan": op7_license_scan,
     "op8_minhash_neardup": op8_minhash_neardup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
