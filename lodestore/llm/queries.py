@@ -13,6 +13,7 @@ from lodestore.llm.licenses import license_scan
 from lodestore.llm.linededup import drop_boilerplate
 from lodestore.llm.mixing import mix_sources
 from lodestore.llm.neardup import near_duplicates
+from lodestore.llm.passages import repeated_passages
 from lodestore.llm.quality import quality
 from lodestore.llm.shared import held_out
 from lodestore.llm.toxicity import toxicity
@@ -70,6 +71,12 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with passages that others have too; all others give no row."""
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_dup_words", F.size("spans").cast("long").alias("n_spans"), F.array_distinct(F.transform("spans", lambda x: x["other"])).alias("others"), "copy_of")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_license_scan": op7_license_scan,
     "op8_minhash_neardup": op8_minhash_neardup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
 
