@@ -3,10 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestore.llm.decontam import decontaminated
+from lodestore.llm.linededup import drop_boilerplate
+from lodestore.llm.mixing import mixed_documents
+from lodestore.llm.neardup import drop_near_duplicates
 from lodestore.llm.shared import stash
+from lodestore.llm.toxicity import drop_toxic
 
-STAGES = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression-distance classifier rejects go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go; n_chars follows the text; every document stays."""
+    return drop_boilerplate(docs, host="source").withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a ten-word window of a benchmark item go."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the number of copies that the mix takes of it."""
+    return mixed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("near-duplicates", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: SQL can't express the classifier and the dictionaries; tests/llm/test_pipeline.py holds a brute-force version.
 ORACLE_SQL = None
 
 
@@ -16,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stash(docs, f"stage-{i + 1}")
+            docs = stash(docs, name.replace(" ", "-"))
     return docs

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from lodestore.llm.shared import small_batches, stash
+from lodestore.llm.shared import small_batches, stash, without
 from lodestore.llm.tokens import ALNUM, alnum_words, text_buffers, word_hashes
 
 #: Benchmark text that one broadcast block holds at most; a larger benchmark is searched in several blocks.
@@ -190,8 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` whose doc_id has no hit; rows without a doc_id are kept."""
-    hit = contamination(docs, benchmark, width).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, contamination(docs, benchmark, width).where("n_hit > 0").select("doc_id"))
 
 
 def proximity(index: DataFrame, phrases: list[Row] | list[tuple[int, str]], slop: int) -> DataFrame:

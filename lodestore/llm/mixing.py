@@ -6,9 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestore.llm.shared import small_batches, stash
 
@@ -39,8 +41,8 @@ def shared_targets(totals: dict[str | None, int], weights: Sequence[float], shar
     return target
 
 
-def tilts(sized: DataFrame, totals: dict[str | None, int], targets: dict[str | None, float], most: float = MOST, rounds: int = 60) -> dict[str | None, float]:
-    """The dual solution of each source: rates min(most, exp(tilt * size / mean size)) meet its target.
+def tilts(sized: DataFrame, totals: dict[str | None, int], targets: dict[str | None, float], most: float = MOST, rounds: int = 60) -> dict[str | None, tuple[float, float]]:
+    """(tilt, mean size): the dual solution of each source: rates min(most, exp(tilt * size / mean size)) meet its target.
 
     These rates are the closest to 1 in relative entropy under the token constraint and the cap; the dual is convex
     and one-dimensional per source. Each Newton round is one distributed sum over ``sized(source, size, n)``; a round
@@ -87,17 +89,18 @@ def tilts(sized: DataFrame, totals: dict[str | None, int], targets: dict[str | N
     return {s: (t, means.get(s, 1.0)) for s, t in tilt.items()}
 
 
-def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
+def _rounded(rows: pa.Table) -> pa.Table:
     """Copies of one group: from the longest document on, each takes the neighbour of its rate that keeps the words
     taken so far closest to the words expected so far."""
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-    copies, over = np.zeros(len(pdf), np.int64), 0.0
-    for i, (size, rate) in enumerate(zip(pdf["size"].to_numpy(), pdf["rate"].to_numpy(), strict=True)):
+    order = pc.sort_indices(rows, sort_keys=[("size", "descending"), ("doc_id", "ascending")], null_placement="at_end").to_numpy()
+    sizes, rates = rows.column("size").to_numpy()[order], rows.column("rate").to_numpy()[order]
+    copies, over = np.zeros(len(order), np.int64), 0.0
+    for i, size, rate in zip(order.tolist(), sizes.tolist(), rates.tolist(), strict=True):
         low = math.floor(rate)
         down, up = over + (low - rate) * size, over + (low + 1 - rate) * size
-        copies[i] = low + (low < rate and abs(up) < abs(down))
-        over = up if copies[i] > low else down
-    return pdf.assign(copies=copies)
+        more = low < rate and abs(up) < abs(down)
+        copies[i], over = low + more, up if more else down
+    return rows.append_column("copies", pa.array(copies))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = MOST) -> DataFrame:
@@ -110,19 +113,50 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     null source is a source of its own, the last. Repeated rows are documents of their own. An empty table gives no
     rows. One row per source is held on the driver: sources are a dimension of the corpus, not its documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 10_000)
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "sizes")
+    small_batches(docs.sparkSession, 10_000)
+    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size")), "sizes")
+    state = _solved(sized, weights, share, most)
+    rated = sized.join(state, sized["source"].eqNullSafe(state["of"])).select("doc_id", "source", "size", "source_size", "target", _rate(most).alias("rate"), _group("doc_id").alias("part"))
+    kind = "doc_id long, source string, size long, source_size long, target double, rate double, part long, copies long"
+    return rated.groupBy("source", "part").applyInArrow(_rounded, kind).drop("part")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = MOST) -> DataFrame:
+    """``docs`` with all its columns and rows, and ``copies``: how often the mix of ``mix_sources`` takes each row.
+
+    ``docs`` must not have a column that the mix itself makes (size, rate, copies and the like: it says which). Whole rows move once, in groups of about GROUP_ROWS documents.
+    """
+    small_batches(docs.sparkSession)
+    sized = stash(docs.select("source", word_count("text").alias("size")), "sizes")
+    state = _solved(sized, weights, share, most)
+    taken = {"size", "of", "source_size", "target", "tilt", "mean", "groups", "rate", "part", "copies"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"docs must not have columns named {sorted(taken)}")
+    rows = docs.withColumn("size", word_count("text"))
+    rated = rows.join(state, rows["source"].eqNullSafe(state["of"])).select(*docs.columns, "size", _rate(most).alias("rate"), _group("doc_id").alias("part"))
+    kind = T.StructType([*rated.schema.fields, T.StructField("copies", T.LongType())])
+    return rated.groupBy("source", "part").applyInArrow(_rounded, kind).select(*docs.columns, "copies")
+
+
+def word_count(column: str) -> Column:
+    return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _rate(most: float) -> Column:
+    tilted = F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0))))
+    return F.when(F.col("tilt") == math.inf, float(most)).when(F.col("tilt") == -math.inf, 0.0).otherwise(tilted)
+
+
+def _group(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id, "size"), F.col("groups"))
+
+
+def _solved(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(of, source_size, target, tilt, mean, groups) of each source of ``sized(source, size)``."""
     counts = stash(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs")).collect()
     totals = {r["source"]: r["total"] for r in per_source}
     targets = shared_targets(totals, weights, share, most)
     solved = tilts(counts, totals, targets, most)
     table = [(r["source"], r["total"], targets[r["source"]], *map(float, solved[r["source"]]), -(-r["docs"] // GROUP_ROWS)) for r in per_source]
-    state = spark.createDataFrame(table, "of string, source_size long, target double, tilt double, mean double, groups long")
-    rate = F.when(F.col("tilt") == math.inf, float(most)).when(F.col("tilt") == -math.inf, 0.0)
-    rate = rate.otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rated = sized.join(state, sized["source"].eqNullSafe(state["of"])).select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "size"), F.col("groups")).alias("part"))
-    out = rated.groupBy("source", "part").applyInPandas(_rounded, "doc_id long, source string, size long, source_size long, target double, rate double, part long, copies long")
-    return out.drop("part")
+    return sized.sparkSession.createDataFrame(table, "of string, source_size long, target double, tilt double, mean double, groups long")

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.components import components
-from lodestore.llm.shared import small_batches, stash
+from lodestore.llm.shared import small_batches, stash, without
 from lodestore.llm.tokens import NONSPACE, hashed_texts, mix, shingles
 
 #: 32 bands of 4 minima: a pair of similarity 0.8 meets in no band once in 20 million times.
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+#: Words of a shingle where a caller doesn't say otherwise.
+SHINGLE = 5
 #: A pair whose signatures agree in fewer places than this is below similarity 0.8 but for one case in 10 million.
 LEAST_AGREEING = int(0.6 * HASHES)
 #: Nodes of one side of a group that compares what the components leave open.
@@ -158,7 +160,7 @@ def _between(others: DataFrame, comp: DataFrame, sets: DataFrame, percent: int)
     return placed.groupBy("main", "r", "c").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``.
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their sets of ``shingle``-word shingles
@@ -215,3 +217,9 @@ def _whole_sets(docs: DataFrame, meeting: DataFrame, shingle: int) -> DataFrame:
     # a text's own node tells the rows of a repeated or missing doc_id apart
     items = texts.mapInArrow(_sets(shingle), "node long, items binary").where("items is not null")
     return stash(items.join(meeting.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its group's component_id: one document of each group, and all others that
+    are linked with nothing. Rows without a doc_id stay."""
+    return without(docs, near_duplicates(docs, shingle, percent).where("not kept").select("doc_id"))

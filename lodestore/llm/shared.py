@@ -62,3 +62,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold from which no label is learnt: crc32 of its id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+#: Ids up to this number (16 MB) are broadcast when rows are taken out; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``rows`` without those whose id is among ``ids`` (one column); rows with a null id stay."""
+    found = stash(ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct(), "ids")
+    few = found.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return rows.join(F.broadcast(found) if few else found, column, "left_anti").select(rows.columns)

@@ -181,16 +181,33 @@ def toxicity(docs: DataFrame, labels: DataFrame, window_words: int = 1) -> DataF
     with nulls or of the held-out fold teach nothing. Without labels of class 1 every score is next to 0. Repeated rows
     are scored alike; an empty table gives no rows. At most TOXIC_SAMPLE + ORDINARY_SAMPLE texts reach the driver.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = train(labelled_sample(docs, labels, "toxic", {1: TOXIC_SAMPLE, 0: ORDINARY_SAMPLE}), window_words)
-    shared = spark.sparkContext.broadcast(model)
+    shared = _shared_model(docs, labels, window_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for b in batches:
-            rows = [own.features(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            x = np.array(rows) if rows else np.zeros((0, len(own.weights)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(x)), pa.array(np.rint(np.expm1(x[:, -2])).astype(np.int64))], names=["doc_id", "score", "n_windows"])
+            x = _features(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(x)), pa.array(np.rint(np.expm1(x[:, -2])).astype(np.int64))], names=["doc_id", "score", "n_windows"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_windows long")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns, in one pass without a join."""
+    shared, at = _shared_model(docs, labels, 1), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(_features(shared.value, b.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _shared_model(docs: DataFrame, labels: DataFrame, window_words: int):
+    small_batches(docs.sparkSession)
+    model = train(labelled_sample(docs, labels, "toxic", {1: TOXIC_SAMPLE, 0: ORDINARY_SAMPLE}), window_words)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def _features(model: Model, column: pa.Array) -> np.ndarray:
+    rows = [model.features(t or b"") for t in column.cast(pa.binary()).to_pylist()]
+    return np.array(rows, dtype=float).reshape(len(rows), len(model.weights))
