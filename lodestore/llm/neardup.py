@@ -179,29 +179,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     signed = stash(docs.mapInArrow(_signed(shingle), _SIGNED), "signed")
     filled = signed.where("n_shingles > 0")
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    nodes = stash(nodes, "nodes")
+    nodes = stash(nodes, "nodes", compact=True)
 
     banded = nodes.select("node", "sig").mapInArrow(_banded, "key long, node long")
     meets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot")).where("n > 1")
-    met = stash(banded.join(meets, "key"), "met")
+    met = stash(banded.join(meets, "key"), "met", compact=True)
 
     # whole sets only of nodes that meet others, taken from one text each
     meeting = met.select("node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
     sets = _whole_sets(docs, meeting, shingle)
-    tested = stash(met.where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), "tested")
-    links = stash(_verified(tested, nodes, sets, percent), "verified")
+    tested = stash(met.where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), "tested", compact=True)
+    # whole sets are long rows: few to a batch
+    small_batches(spark, 100)
+    links = stash(_verified(tested, nodes, sets, percent), "verified", compact=True)
 
     # buckets of three and more that still hold several components: their other pairs
     comp = components(links)
     left = met.where("n > 2").select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    left = stash(left, "left")
+    left = stash(left, "left", compact=True)
     most = left.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
-    others = stash(left.join(most, "key").where("comp <> main").select("main", "node", "comp").distinct(), "others")
-    more = stash(_between(others, comp, sets, percent), "between")
+    others = stash(left.join(most, "key").where("comp <> main").select("main", "node", "comp").distinct(), "others", compact=True)
+    more = stash(_between(others, comp, sets, percent), "between", compact=True)
     if more.limit(1).count():
         comp = components(links.union(more))
 
-    comp = stash(comp, "components")
+    comp = stash(comp, "components", compact=True)
     ids = comp.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     joined = comp.join(ids, "component").select("node", "component_id")
     own = nodes.join(joined, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
@@ -216,7 +218,7 @@ def _whole_sets(docs: DataFrame, meeting: DataFrame, shingle: int) -> DataFrame:
     texts = docs.join(own, "doc_id", "left_semi").union(docs.where("doc_id is null"))
     # a text's own node tells the rows of a repeated or missing doc_id apart
     items = texts.mapInArrow(_sets(shingle), "node long, items binary").where("items is not null")
-    return stash(items.join(meeting.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
+    return stash(items.join(meeting.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets", compact=True)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:

@@ -33,14 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    return stash_at(df, name)[0]
+def stash(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors.
 
+    ``compact`` is for short rows behind a shuffle: a few files a core instead of one for each shuffle partition.
+    """
+    return stash_at(df, name, compact)[0]
 
-def stash_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+
+def stash_at(df: DataFrame, name: str, compact: bool = False) -> tuple[DataFrame, str]:
     """As ``stash``; also returns the path, for ``unstash`` once nothing reads the table any more."""
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -70,6 +75,6 @@ BROADCAST_IDS = 1_000_000
 
 def without(rows: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``rows`` without those whose id is among ``ids`` (one column); rows with a null id stay."""
-    found = stash(ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct(), "ids")
+    found = stash(ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct(), "ids", compact=True)
     few = found.limit(broadcast_ids + 1).count() <= broadcast_ids
     return rows.join(F.broadcast(found) if few else found, column, "left_anti").select(rows.columns)
