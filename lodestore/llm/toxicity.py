@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -154,20 +155,31 @@ def train(texts: list[tuple[bytes, int]], window_words: int = 1) -> Model:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int], longest: int = LONGEST_SAMPLE) -> list[tuple[bytes, int]]:
-    """(text, label) of a bounded sample outside the held-out fold, by the hash of doc_id; a doc_id is 1 if any row says so."""
-    spark = docs.sparkSession
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int], longest: int = LONGEST_SAMPLE) -> DataFrame:
+    """(doc_id, text, y) of a bounded sample outside the held-out fold, by the hash of doc_id; a doc_id is 1 if any row
+    says so."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     ids = []
     for y, n in sizes.items():
         ids += own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
-    if not ids:
-        return []
-    chosen = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, y int")
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, y int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= longest)
     # the ids are bounded by the sample's size, so this side may be broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["text"].encode(), r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    return texts.join(F.broadcast(chosen), "doc_id")
+
+
+def _trained_model(sample: DataFrame, window_words: int) -> Model:
+    """The model of a bounded sample, made by one task, so that its texts never reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            rows += zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)
+        model = train([(t, y) for _, t, y in sorted(rows)], window_words)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], window_words)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, window_words: int = 1) -> DataFrame:
@@ -179,7 +191,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, window_words: int = 1) -> DataF
 
     Null and empty texts have no windows and get the score of a text without toxic windows. Labels without a document,
     with nulls or of the held-out fold teach nothing. Without labels of class 1 every score is next to 0. Repeated rows
-    are scored alike; an empty table gives no rows. At most TOXIC_SAMPLE + ORDINARY_SAMPLE texts reach the driver.
+    are scored alike; an empty table gives no rows. At most TOXIC_SAMPLE + ORDINARY_SAMPLE texts teach, in one task.
     """
     shared = _shared_model(docs, labels, window_words)
 
@@ -204,7 +216,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 def _shared_model(docs: DataFrame, labels: DataFrame, window_words: int):
     small_batches(docs.sparkSession)
-    model = train(labelled_sample(docs, labels, "toxic", {1: TOXIC_SAMPLE, 0: ORDINARY_SAMPLE}), window_words)
+    model = _trained_model(labelled_sample(docs, labels, "toxic", {1: TOXIC_SAMPLE, 0: ORDINARY_SAMPLE}), window_words)
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
