@@ -24,7 +24,7 @@ def fold(sizes: np.ndarray, limit: int, strict: bool = False) -> np.ndarray:
     total = np.cumsum(sizes)
     out, start, block, before = np.zeros(len(sizes), np.int64), 0, 0, 0
     while start < len(sizes):
-        end = int(np.searchsorted(total, before + limit, side="right" if strict else "left")) + 1
+        end = max(start, int(np.searchsorted(total, before + limit, side="right" if strict else "left"))) + 1
         out[start:end] = block
         start, block = end, block + 1
         before = int(total[min(end, len(sizes)) - 1])
