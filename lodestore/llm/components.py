@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = stash_at(edges, "links", compact=True)
     seen = None
     while True:
-        nxt = _small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct()
+        nxt = _small_star(_large_star(now).where("u <> v")).where("u <> v").distinct()
         out, out_path = stash_at(nxt, "links", compact=True)
         # an unchanged sum over all links means that neither star moved one
         sign = out.select(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0))).first()

@@ -37,7 +37,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     on hashes; whole texts move once at most.
     """
     pages = docs.select(F.col(host).alias("host"), "text")
-    common = stash(boilerplate(pages, ratio, least_pages).select(F.col("host").alias("of"), "h1", "h2"), "boilerplate")
+    common = stash(boilerplate(pages, ratio, least_pages).select(F.col("host").alias("of"), "h1", "h2"), "boilerplate", compact=True)
     split = F.split("text", "\n", -1)
     lines = pages.select("host", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), F.posexplode(split).alias("pos", "line"))
     lines = lines.select("host", "t1", "t2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))

@@ -153,7 +153,7 @@ def _group(doc_id: str) -> Column:
 
 def _solved(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """(of, source_size, target, tilt, mean, groups) of each source of ``sized(source, size)``."""
-    counts = stash(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
+    counts = stash(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts", compact=True)
     per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs")).collect()
     totals = {r["source"]: r["total"] for r in per_source}
     targets = shared_targets(totals, weights, share, most)
