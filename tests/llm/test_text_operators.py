@@ -34,7 +34,7 @@ def test_line_dedup(spark, docs):
 def items(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     a = texts[3].split()
-    rows = [(1, " ".join(a[45:70])), (2, "nothing of this is there at all in any of these texts"), (10, "é, ü"), (11, ""), (12, None), (None, " ".join(a[45:70])), (13, "ONE"), (14, " ".join(a[:10] + ["other"])), (1, " ".join(a[45:70]))]
+    rows = [(1, " ".join(a[45:70])), (2, "nothing of this is there at all in any of these texts"), (10, "é, Ü"), (11, ""), (12, None), (None, " ".join(a[45:70])), (13, "ONE"), (14, " ".join(a[:10] + ["other"])), (1, " ".join(a[45:70]))]
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
