@@ -31,7 +31,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     never dropped. A text of boilerplate alone becomes empty; its row stays.
 
     A null text stays null, with 0 lines; its page counts for its host. A null host is one host. Repeated rows count as
-    pages of their own. An empty table gives no rows. ``docs`` must not have columns named n_lines or n_dropped.
+    pages of their own. An empty table gives no rows. Columns named n_lines or n_dropped are
+    replaced; any other may have any name.
 
     Lines are counted with partial sums, so a hot host meets in no single task. The rows to change are found by joins
     on hashes; whole texts move once at most.
@@ -44,9 +45,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     hit = lines.join(common, lines["host"].eqNullSafe(common["of"]) & (lines["h1"] == common["h1"]) & (lines["h2"] == common["h2"]), "left_semi")
     # equal texts of a host lose the same lines: copies share one row
     drops = hit.groupBy("host", "t1", "t2").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("host", "of").withColumnRenamed("t1", "d1").withColumnRenamed("t2", "d2")
-    keyed = docs.withColumn("__host", F.col(host)).withColumn("__t1", F.xxhash64("text")).withColumn("__t2", F.xxhash64(F.lit(1), F.col("text")))
-    joined = keyed.join(drops, F.col("__host").eqNullSafe(F.col("of")) & (F.col("__t1") == F.col("d1")) & (F.col("__t2") == F.col("d2")), "left")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    keyed = docs.select(F.struct(*own).alias("row"), F.col(host).alias("host"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"))
+    joined = keyed.join(drops, keyed["host"].eqNullSafe(drops["of"]) & (keyed["t1"] == drops["d1"]) & (keyed["t2"] == drops["d2"]), "left")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    out = joined.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)))
-    out = out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).withColumn("text", kept)
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    count = lambda x: F.when(x.isNull(), 0).otherwise(F.size(x))
+    cells = [kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in own]
+    return joined.select(*cells, count(split).alias("n_lines"), count(F.col("gone")).alias("n_dropped"))

@@ -124,18 +124,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = MOST) -> DataFrame:
     """``docs`` with all its columns and rows, and ``copies``: how often the mix of ``mix_sources`` takes each row.
 
-    ``docs`` must not have a column that the mix itself makes (size, rate, copies and the like: it says which). Whole rows move once, in groups of about GROUP_ROWS documents.
+    A column named copies is replaced; any other may have any name. Whole rows move once, in groups of about GROUP_ROWS
+    documents.
     """
     small_batches(docs.sparkSession)
     sized = stash(docs.select("source", word_count("text").alias("size")), "sizes")
     state = _solved(sized, weights, share, most)
-    taken = {"size", "of", "source_size", "target", "tilt", "mean", "groups", "rate", "part", "copies"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs must not have columns named {sorted(taken)}")
-    rows = docs.withColumn("size", word_count("text"))
-    rated = rows.join(state, rows["source"].eqNullSafe(state["of"])).select(*docs.columns, "size", _rate(most).alias("rate"), _group("doc_id").alias("part"))
+    own = [c for c in docs.columns if c != "copies"]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
+    rated = rows.join(state, rows["source"].eqNullSafe(state["of"])).select("row", "doc_id", "source", "size", _rate(most).alias("rate"), _group("doc_id").alias("part"))
     kind = T.StructType([*rated.schema.fields, T.StructField("copies", T.LongType())])
-    return rated.groupBy("source", "part").applyInArrow(_rounded, kind).select(*docs.columns, "copies")
+    return rated.groupBy("source", "part").applyInArrow(_rounded, kind).select("row.*", "copies")
 
 
 def word_count(column: str) -> Column:

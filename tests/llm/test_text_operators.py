@@ -103,8 +103,11 @@ def test_mixing(docs):
     whole = mixed_documents(docs)
     assert whole.columns == [*docs.columns, "copies"] and sorted((r["copies"] for r in whole.collect())) == sorted(r["copies"] for r in rows)
     assert mix_sources(docs.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        mixed_documents(docs.withColumn("size", F.lit(1)))
+    clash = docs.withColumns({c: F.lit(7) for c in ("size", "rate", "of", "part", "copies", "row", "target")})
+    odd = mixed_documents(clash)
+    assert sorted(r["copies"] for r in odd.collect()) == sorted(r["copies"] for r in rows) and {r["rate"] for r in odd.collect()} == {7}
+    lines = drop_boilerplate(docs.withColumns({c: F.lit(7) for c in ("host", "of", "gone", "t1", "n_lines", "row")}), "source")
+    assert lines.count() == docs.count() and {r["gone"] for r in lines.collect()} == {7}
 
 
 def test_licenses(spark):
