@@ -148,3 +148,19 @@ def test_passages(docs, empty):
     assert {0, 1, 2, 3, 4} <= set(got) and not set(got) & set(range(20, 50)) and not set(got) & {5, 6, 7, 8, 9, 10, 11, 12}
     assert got[1]["copy_of"] == 0 and got[2]["class_id"] == 0 and got[4]["class_id"] == 3
     assert repeated_passages(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_passages_all_partners(spark, monkeypatch, block):
+    """Documents of a star share passages that neither its smallest document nor the one before has."""
+    monkeypatch.setattr("lodestore.llm.passages.BLOCK", block, raising=False)
+    rng = random.Random(9)
+    new = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    shared, other = new(200), new(60)
+    # 0 has every second stretch of 20 words of the passage, so its contexts meet but it shares no passage of 50 words
+    texts = {0: [w for k in range(0, 200, 40) for w in shared[k : k + 20] + new(9)], 1: new(30) + shared + new(30), 2: new(20) + [w for k in range(0, 200, 40) for w in shared[k : k + 20] + new(7)], 3: new(10) + shared + new(25)}
+    # 5 and 7 share more than either shares with 4 and 6
+    texts |= {4: new(9) + other[:52] + new(9), 5: new(12) + other + new(8), 6: new(4) + other[5:57] + new(9), 7: new(5) + other + new(20)}
+    got = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {1: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
+    assert {i: r["n_dup_words"] for i, r in got.items()} == {1: 200, 3: 200, 4: 52, 5: 60, 6: 52, 7: 60}
