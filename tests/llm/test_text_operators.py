@@ -10,7 +10,7 @@ from lodestore.llm.decontam import contamination, decontaminated, positional_ind
 from lodestore.llm.licenses import license_scan, needed
 from lodestore.llm.linededup import drop_boilerplate
 from lodestore.llm.mixing import mix_sources, mixed_documents, shared_targets
-from lodestore.llm.passages import WORDS, compact_windows, repeated_passages
+from lodestore.llm.passages import SHINGLE, WORDS, compact_windows, repeated_passages, shared_passages
 
 from .conftest import words
 
@@ -164,3 +164,21 @@ def test_passages_all_partners(spark, monkeypatch, block):
     got = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
     assert {i: r["class_id"] for i, r in got.items()} == {1: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
     assert {i: r["n_dup_words"] for i, r in got.items()} == {1: 200, 3: 200, 4: 52, 5: 60, 6: 52, 7: 60}
+
+
+def test_shared_passages_repeated_ends():
+    """Repeats of a part of the passage beside it don't hide the passage; failing stretches keep their similar part."""
+    import numpy as np
+
+    from lodestore.llm.tokens import mix, shingles
+
+    items = lambda w: shingles(mix(np.array(w, np.uint64)), SHINGLE)
+    p = list(range(1, 51))
+    for a, b in [(p, p + [91, 92, 93] + p[-5:] + [94, 95, 96] + p[-5:]), (p + [91, 92, 93] + p[-5:] + [94, 95, 96] + p[-5:], p)]:
+        assert (0, 46, 0, 46) in shared_passages(items(a), items(b))
+    q = list(range(100, 220))
+    near = q[:40] + [901] + q[41:80] + [902] + q[81:]
+    ends = [x for k in range(6) for x in [300 + 9 * k + n for n in range(6)] + [1000 + 9 * k + n for n in range(9)]]
+    other = [x for k in range(6) for x in [300 + 9 * k + n for n in range(6)] + [2000 + 9 * k + n for n in range(9)]]
+    found = shared_passages(items(q + ends), items(near + other))
+    assert any(s <= 1 and 110 <= e <= 130 for s, e, _, _ in found)
