@@ -73,8 +73,22 @@ def held_out(doc_id: Column) -> Column:
 BROADCAST_IDS = 1_000_000
 
 
+def few(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
+    """Whether a stored table is short enough to be broadcast."""
+    return ids.limit(most + 1).count() <= most
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is in the stored table ``ids`` (one column), broadcast only if that is short."""
+    return rows.join(F.broadcast(ids) if few(ids) else ids, column, "left_semi")
+
+
+def apart(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose columns named in the stored table ``keys`` stand in none of its rows."""
+    return rows.join(F.broadcast(keys) if few(keys) else keys, keys.columns, "left_anti")
+
+
 def without(rows: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``rows`` without those whose id is among ``ids`` (one column); rows with a null id stay."""
     found = stash(ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct(), "ids", compact=True)
-    few = found.limit(broadcast_ids + 1).count() <= broadcast_ids
-    return rows.join(F.broadcast(found) if few else found, column, "left_anti").select(rows.columns)
+    return rows.join(F.broadcast(found) if few(found, broadcast_ids) else found, column, "left_anti").select(rows.columns)

@@ -10,7 +10,7 @@ from lodestore.llm.decontam import contamination, decontaminated, positional_ind
 from lodestore.llm.licenses import license_scan, needed
 from lodestore.llm.linededup import drop_boilerplate
 from lodestore.llm.mixing import mix_sources, mixed_documents, shared_targets
-from lodestore.llm.passages import SHINGLE, WORDS, compact_windows, repeated_passages, shared_passages
+from lodestore.llm.passages import BAND, HASHES, SHINGLE, WORDS, repeated_passages, shared_passages, signatures, window_minima
 
 from .conftest import words
 
@@ -121,15 +121,47 @@ def test_licenses(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_compact_windows():
+def tree_windows(values, least):
+    """(l, c, r) of the nodes of the Cartesian tree that span ``least`` places or more."""
+    out, todo = [], [(0, len(values))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo >= least:
+            c = lo + int(values[lo:hi].argmin())
+            out.append((lo, c, hi - 1))
+            todo += [(lo, c), (c + 1, hi)]
+    return out
+
+
+@pytest.mark.parametrize("repeats", [1, 7])
+def test_compact_windows(repeats):
+    import numpy as np
+
+    v = np.tile(np.random.default_rng(1).integers(0, 1 << 62, 200 // repeats, dtype=np.uint64), repeats)
+    found = tree_windows(v, 10)
+    for i, at in enumerate(window_minima(v, 10)):
+        assert [c for lo, c, hi in found if lo <= i <= c <= i + 9 <= hi] == [at]
+
+
+def test_signatures_are_joined_windows():
+    """Each stretch of LEAST shingles is in one run of each band; stretches share a run if and only if they share all minima's places."""
     import numpy as np
 
-    v = np.random.default_rng(1).integers(0, 1 << 30, 200)
-    found = compact_windows(v, 10)
-    for i in range(0, 190):
-        for j in range(i + 9, 200, 17):
-            c = i + int(v[i : j + 1].argmin())
-            assert sum(lo <= i and m == c and j <= hi for lo, m, hi in found) == 1
+    rng = np.random.default_rng(2)
+    bounds = np.array([0, 46, 300, 345, 600])
+    items = rng.integers(0, 1 << 62, 600, dtype=np.uint64)
+    items[500:600] = items[120:220]
+    text, key, s, e = signatures(items, bounds)
+    bands = HASHES // BAND
+    count = {}
+    for t, k, a, z in zip(text.tolist(), key.tolist(), s.tolist(), e.tolist(), strict=True):
+        for i in range(a, z + 1):
+            count.setdefault((t, i), []).append(k)
+    assert set(count) == {(t, i) for t in range(4) for i in range(bounds[t + 1] - bounds[t] - 45)}
+    assert all(len(v) == bands and len(set(v)) == bands for v in count.values())
+    # equal stretches have equal signatures wherever they stand
+    for i in range(120, 220 - 45):
+        assert sorted(count[1, i - 46]) == sorted(count[3, i + 380 - 345])
 
 
 def test_passages(docs, empty):
