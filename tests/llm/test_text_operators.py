@@ -139,8 +139,8 @@ def test_compact_windows(repeats):
 
     v = np.tile(np.random.default_rng(1).integers(0, 1 << 62, 200 // repeats, dtype=np.uint64), repeats)
     found = tree_windows(v, 10)
-    for i, at in enumerate(window_minima(v, 10)):
-        assert [c for lo, c, hi in found if lo <= i <= c <= i + 9 <= hi] == [at]
+    for i, low in enumerate(window_minima(v, 10)):
+        assert [v[c] for lo, c, hi in found if lo <= i <= c <= i + 9 <= hi] == [low]
 
 
 def test_signatures_are_joined_windows():
