@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestore.llm.ann import nearest
 from lodestore.llm.decontam import contamination
 from lodestore.llm.licenses import license_scan
-from lodestore.llm.linededup import LEAST_PAGES, RATIO, drop_boilerplate
+from lodestore.llm.linededup import DOUBT, RATIO, drop_boilerplate
 from lodestore.llm.mixing import mix_sources
 from lodestore.llm.neardup import near_duplicates
 from lodestore.llm.passages import repeated_passages
@@ -99,9 +99,9 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _PARTS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 _LINES = f"""with d as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
-p as (select source, line, count(*) as n from (select source, unnest(list_distinct(lines)) as line from d) where trim(line, ' ') <> '' group by source, line),
+p as (select source, line, count(*) as n from (select source, unnest(list_distinct(lines)) as line from d) where translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '' group by source, line),
 t as (select source, count(*) as total from documents group by source),
-b as (select p.source, list(line) as bad from p join t on p.source is not distinct from t.source where n >= {LEAST_PAGES} and n > {RATIO} * total group by p.source),
+b as (select p.source, list(line) as bad from p join t on p.source is not distinct from t.source where n - {DOUBT}::double * sqrt(n) > {RATIO}::double * total group by p.source),
 f as (select doc_id, d.source, text, lines, list_filter(lines, lambda x: not coalesce(list_contains(bad, x), false)) as kept from d left join b on d.source is not distinct from b.source)
 select doc_id, source, coalesce(len(lines), 0)::bigint as n_lines, coalesce(len(lines) - len(kept), 0)::bigint as n_dropped,
 case when text is not null then md5(coalesce(array_to_string(kept, chr(10)), '')) end as text_md5 from f"""

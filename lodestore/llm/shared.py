@@ -64,6 +64,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def cell(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold from which no label is learnt: crc32 of its id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -91,4 +96,4 @@ def apart(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def without(rows: DataFrame, ids: DataFrame, column: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``rows`` without those whose id is among ``ids`` (one column); rows with a null id stay."""
     found = stash(ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct(), "ids", compact=True)
-    return rows.join(F.broadcast(found) if few(found, broadcast_ids) else found, column, "left_anti").select(rows.columns)
+    return rows.join(F.broadcast(found) if few(found, broadcast_ids) else found, column, "left_anti").select(*map(cell, rows.columns))
