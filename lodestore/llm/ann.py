@@ -110,7 +110,9 @@ def segment_search(query_ids, queries, ids, vectors, values, order, k: int) -> l
             width *= RATIO
         found = found[ids[found] != qid]
         score = (vectors[found] @ query) / squares[found] / np.sqrt(query @ query)
-        for j in np.lexsort((ids[found], -score))[:k]:
+        best = np.lexsort((ids[found], -score))
+        _, first = np.unique(ids[found][best], return_index=True)
+        for j in best[np.sort(first)[:k]]:
             out.append((int(qid), int(ids[found[j]]), float(score[j])))
     return out
 
@@ -123,13 +125,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int
     the measured recall); with k candidates or fewer it returns all.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids. Vectors of another
-    length than the query's are no candidates. Repeated rows count once each. Empty tables give no rows. Queries are
+    length than the query's are no candidates. Repeated rows, asked or searched, count once; of several vectors
+    of one vec_id the nearest counts. Empty tables give no rows. Queries are
     searched in blocks of about ``query_rows``, each against the same stored index; each task returns k rows a query.
     """
     spark = vectors.sparkSession
     index = build_index(vectors)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").distinct()
     blocks = max(1, -(-asked.count() // query_rows))
     found = None
     for b in range(blocks):
@@ -146,6 +149,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int
         part = stash(part, "near") if blocks > 1 else part
         found = part if found is None else found.union(part)
     # the k best so far of each task move, not all that its segments found
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
