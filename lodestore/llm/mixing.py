@@ -8,11 +8,11 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestore.llm.shared import small_batches, stash
+from lodestore.llm.shared import BROADCAST_IDS, cell, small_batches, stash
 
 #: Documents that one rounding group holds on average.
 GROUP_ROWS = 2000
@@ -51,25 +51,27 @@ def tilts(sized: DataFrame, totals: dict[str | None, int], targets: dict[str | N
     spark = sized.sparkSession
     tilt: dict[str | None, float] = {}
     bracket: dict[str | None, list[float]] = {}
-    for s, total in totals.items():
-        if total == 0 or targets[s] >= most * total:
+    for s, words_ in totals.items():
+        if words_ == 0 or targets[s] >= most * words_:
             tilt[s] = math.inf
         elif targets[s] <= 0:
             tilt[s] = -math.inf
         else:
             tilt[s], bracket[s] = 0.0, [-math.inf, math.inf]
     means = {r["source"]: r["mean"] for r in sized.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    # decimals, as a sum of doubles depends on the order of the rows and reruns must agree
+    total = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
     for _ in range(rounds):
         if not bracket:
             break
-        state = spark.createDataFrame([(s, float(tilt[s]), float(means[s])) for s in bracket], "of string, tilt double, mean double")
+        state = _per_source(spark, [(s, float(tilt[s]), float(means[s])) for s in bracket], "of string, tilt double, mean double")
         x = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
         words = F.col("size") * F.col("n")
         sums = (
             sized.join(state, sized["source"].eqNullSafe(state["of"]))
             .groupBy("source")
-            .agg(F.sum(words * F.least(rate, F.lit(float(most)))).alias("got"), F.sum(F.when(rate < most, words * x * rate).otherwise(0.0)).alias("slope"))
+            .agg(total(words * F.least(rate, F.lit(float(most)))).alias("got"), total(F.when(rate < most, words * x * rate).otherwise(0.0)).alias("slope"))
             .collect()
         )
         for r in sums:
@@ -110,7 +112,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     often the mix takes the document; the copies of a source hold about ``target`` words.
 
     A null text has size 0; documents of size 0 get rate and copies of their source like others and take no words. A
-    null source is a source of its own, the last. Repeated rows are documents of their own. An empty table gives no
+    null source is a source of its own, the last. A very long text counts by its words like any other. Repeated rows are documents of their own. An empty table gives no
     rows. One row per source is held on the driver: sources are a dimension of the corpus, not its documents.
     """
     small_batches(docs.sparkSession, 10_000)
@@ -131,12 +133,18 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     sized = stash(docs.select("source", word_count("text").alias("size")), "sizes")
     state = _solved(sized, weights, share, most)
     own = [c for c in docs.columns if c != "copies"]
-    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
+    rows = docs.select(F.struct(*map(cell, own)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
     rated = rows.join(state, rows["source"].eqNullSafe(state["of"])).select("row", "doc_id", "source", "size", _rate(most).alias("rate"), _group("doc_id").alias("part"))
     kind = T.StructType([*rated.schema.fields, T.StructField("copies", T.LongType())])
     return rated.groupBy("source", "part").applyInArrow(_rounded, kind).select("row.*", "copies")
 
 
+def _per_source(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    """One row a source, to be broadcast: the documents' side of a join with it never moves, unless there are very many."""
+    made = spark.createDataFrame(rows, kind)
+    return F.broadcast(made) if len(rows) <= BROADCAST_IDS else made
+
+
 def word_count(column: str) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -158,4 +166,4 @@ def _solved(sized: DataFrame, weights: Sequence[float], share: float, most: floa
     targets = shared_targets(totals, weights, share, most)
     solved = tilts(counts, totals, targets, most)
     table = [(r["source"], r["total"], targets[r["source"]], *map(float, solved[r["source"]]), -(-r["docs"] // GROUP_ROWS)) for r in per_source]
-    return sized.sparkSession.createDataFrame(table, "of string, source_size long, target double, tilt double, mean double, groups long")
+    return _per_source(sized.sparkSession, table, "of string, source_size long, target double, tilt double, mean double, groups long")

@@ -1,6 +1,7 @@
 """Line dedup, decontamination, mixing, licences and passages against brute force."""
 
 import collections
+import math
 import random
 
 import pytest
@@ -16,13 +17,18 @@ from .conftest import words
 
 
 def test_line_dedup(spark, docs):
-    lines = ["menu", "footer", "", "  "] + [f"line {i}" for i in range(40)]
+    lines = ["menu", "footer", "", " \r"] + [f"line {i}" for i in range(40)]
     rng = random.Random(5)
-    rows = [(i, "\n".join(rng.sample(lines[4:], 3) + ["menu"] * (i % 2) + ["footer", "", "footer"] * (i % 5 == 0)), "s" if i < 60 else None) for i in range(100)] + [(200, None, "s"), (201, "menu", "s"), (202, "menu", "t"), (201, "menu", "s")]
-    got = drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, site string"), "site", ratio=0.25, least_pages=5).collect()
+    rows = [(i, "\n".join(rng.sample(lines[4:], 3) + ["menu"] * (i % 2) + ["footer", "", " \r", "footer"] * (i % 5 == 0)), "s" if i < 60 else None) for i in range(100)] + [(200, None, "s"), (201, "menu", "s"), (202, "menu", "t"), (201, "menu", "s")]
+    # a host of nine pages that all have one line, and columns with odd or taken names
+    rows += [(300 + i, f"own {i}\nall have it", "small") for i in range(9)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, site string").withColumn("a.b", F.lit(1)).withColumn("_lines", F.lit(2))
+    got = drop_boilerplate(given, "site", ratio=0.25, doubt=1.5).collect()
+    assert all(r["a.b"] == 1 and r["_lines"] == 2 for r in got)
     total = collections.Counter(s for _, _, s in rows)
-    pages = collections.Counter((s, x) for _, t, s in rows if t is not None for x in set(t.split("\n")) if x.strip(" "))
-    bad = {k for k, n in pages.items() if n >= 5 and n > 0.25 * total[k[0]]}
+    pages = collections.Counter((s, x) for _, t, s in rows if t is not None for x in set(t.split("\n")) if x.strip(" \t\r"))
+    bad = {k for k, n in pages.items() if n - 1.5 * n**0.5 > 0.25 * total[k[0]]}
+    assert ("small", "all have it") in bad and ("s", "menu") in bad
     cut = lambda t, s: None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in bad)
     show = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(((r["doc_id"], r["text"], r["site"]) for r in got), key=show) == sorted(((i, cut(t, s), s) for i, t, s in rows), key=show)
@@ -110,6 +116,27 @@ def test_mixing(docs):
     assert lines.count() == docs.count() and {r["gone"] for r in lines.collect()} == {7}
 
 
+def test_mixing_solves_the_dual(docs):
+    """Rates against a bisection of each source's tilt, made without the operator; dotted names stay."""
+    rows = mix_sources(docs.withColumn("a.b", F.lit(1))).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    for own in by.values():
+        sizes = [r["size"] for r in own]
+        target, whole = own[0]["target"], sum(sizes)
+        if not 0 < target < 2 * whole:
+            continue
+        mean = whole / sum(n > 0 for n in sizes)
+        rate = lambda tilt, n: min(2.0, math.exp(min(50.0, tilt * n / mean)))  # noqa: B023, E731
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if sum(n * rate(tilt, n) for n in sizes) < target else (low, tilt)
+        assert [r["rate"] for r in own] == pytest.approx([rate(low, n) for n in sizes], rel=1e-5)
+    assert {r["a.b"] for r in mixed_documents(docs.withColumn("a.b", F.lit(1))).collect()} == {1}
+
+
 def test_licenses(spark):
     rows = [(1, "x. ALL rights\nreserved, all rights reserved"), (2, "Licensed under the Apache License, Version 2.0."), (3, "licensed under the\napache license version 2.0 q"), (4, None), (5, ""), (6, "this file is under CC-BY and CC BY"), (None, "Released under the MIT License"), (7, "version 2.0 of the license"), (8, "permission is hereby granted free of charge to any person obtaining a copy of this software and the documentation files")]
     got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
