@@ -9,7 +9,7 @@ from lodestore.llm.decontam import decontaminated
 from lodestore.llm.linededup import drop_boilerplate
 from lodestore.llm.mixing import mixed_documents
 from lodestore.llm.neardup import drop_near_duplicates
-from lodestore.llm.shared import stash
+from lodestore.llm.shared import cell, stash
 from lodestore.llm.toxicity import drop_toxic
 
 
@@ -19,8 +19,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text; every document stays."""
-    return drop_boilerplate(docs, host="source").withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Boilerplate lines of a source go; n_chars, where there is one, follows the text; every document stays."""
+    cut = drop_boilerplate(docs, host="source", counts=("_lines", "_dropped"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(*map(cell, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
