@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +45,11 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def longest(template: str, threshold: float) -> int:
+    """Words of the longest block: the template's, and as many others as may be missing of it."""
+    return math.ceil(len(alnum_words(template.encode())) / threshold - 1e-9)
+
+
 class TemplateIndex:
     """Prefixes of the templates' words, ordered from the rarest in the corpus.
 
@@ -52,7 +57,7 @@ class TemplateIndex:
     """
 
     def __init__(self, templates, often: dict[bytes, int], threshold: float):
-        self.labels, self.words, self.least = [], [], []
+        self.labels, self.words, self.least, self.reach = [], [], [], []
         self.by_word: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for label, text in templates:
             words = sorted(set(alnum_words(text.encode())), key=lambda w: (often.get(w, 0), w))
@@ -62,25 +67,39 @@ class TemplateIndex:
             self.labels.append(label)
             self.words.append(words)
             self.least.append(least)
+            self.reach.append(longest(text, threshold))
             for at, w in enumerate(words[: len(words) - least + 1]):
                 self.by_word[w].append((k, at))
 
-    def matches(self, block: list[bytes], probes: list[bytes]) -> Iterator[tuple[int, float]]:
-        """(template, containment) for the templates that a block meets; ``probes`` are its words in some prefix."""
-        own = set(block)
+    def candidates(self, present: set[bytes]) -> Iterator[int]:
+        """The templates of which a text has a prefix word and, in all, enough words."""
         tested = set()
-        # in prefix order, so a template's first probe found is its first word that the block has
-        for at, k in sorted((at, k) for w in set(probes) for k, at in self.by_word[w]):
-            words, least = self.words[k], self.least[k]
-            if k in tested:
-                continue
-            tested.add(k)
-            # length filter: too few words; positional filter: too few of the template's words are left from here on
-            if len(own) < least or len(words) - at < least:
+        # in prefix order, so a template's first probe found is its first word that the text has
+        for at, k in sorted((at, k) for w in present & self.by_word.keys() for k, at in self.by_word[w]):
+            if k not in tested:
+                tested.add(k)
+                # positional filter: too few of the template's words are left from here on; length filter: too few are there
+                if len(self.words[k]) - at >= self.least[k] and sum(w in present for w in self.words[k][at:]) >= self.least[k]:
+                    yield k
+
+    def best(self, k: int, places: list[tuple[int, bytes]]) -> tuple[float, int]:
+        """(containment, first word) of the first block that holds the most of a template's different words; ``places``
+        are those of the text's words that are in any template."""
+        own, reach, count, held = frozenset(self.words[k]), self.reach[k], {}, deque()
+        most, start = 0, -1
+        for at, w in places:
+            if w not in own:
                 continue
-            shared = sum(w in own for w in words[at:])
-            if shared >= least:
-                yield k, shared / len(words)
+            held.append((at, w))
+            count[w] = count.get(w, 0) + 1
+            while at - held[0][0] >= reach:
+                left = held.popleft()[1]
+                count[left] -= 1
+                if not count[left]:
+                    del count[left]
+            if len(count) > most:
+                most, start = len(count), held[0][0]
+        return most / len(self.words[k]), start
 
 
 def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
@@ -118,14 +137,15 @@ def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, places, matches) for each row of ``docs(doc_id, text)``.
 
-    ``places`` lists (start word, label) of the phrases in the whole text. A block is a line, or a line with the next
-    one, so that a notice broken over two lines is found. ``matches`` lists (label, line, containment) of the first
-    blocks with the highest containment of each label, for every template of which a block contains at least
-    ``threshold`` of the distinct words: found exactly, by prefix, length and positional filters on words ordered by
-    their frequency in all texts.
+    ``places`` lists (start word, label) of the phrases in the whole text. A block is any run of words, whatever line
+    breaks stand in it, of up to ``longest`` words. ``matches`` lists (label, start word, containment) of the first blocks
+    with the highest containment of each label, for every template of which a block contains at least ``threshold`` of
+    the distinct words: found exactly, by prefix, length and positional filters on words ordered by their frequency in
+    all texts.
 
-    Null texts have no words. Blocks without words match nothing. Repeated rows each get a row, a null doc_id stays
-    null, empty tables give no rows. Templates without words are left out.
+    Null texts have no words. Texts without words match nothing; a very long one takes time in proportion. Repeated rows
+    each get a row, a null doc_id stays null, empty tables give no rows, other columns are ignored. Templates without
+    words are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -134,11 +154,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] =
     vocabulary = {w for _, text in templates for w in alnum_words(text.encode())}
     index = spark.sparkContext.broadcast(TemplateIndex(templates, word_frequencies(docs, vocabulary), threshold))
     wanted = [(alnum_words(p.encode()), label) for p, label in phrases.items()]
-    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))), ("matches", pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("containment", pa.float64())])))])
+    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))), ("matches", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
-        prefix = frozenset(own.by_word)
+        prefix, every = frozenset(own.by_word), frozenset(w for words in own.words for w in words)
         firsts = frozenset(p[0] for p, _ in wanted)
         for b in batches:
             n_words, places, matches = [], [], []
@@ -149,20 +169,13 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] =
                 places.append([{"start": at, "label": label} for at, label in sorted(phrase_places(words, wanted))] if firsts & seen else [])
                 best: dict[str, tuple[float, int]] = {}
                 if prefix & seen:
-                    lines = [alnum_words(x) for x in t.split(b"\n")]
-                    probes = [[w for w in x if w in prefix] for x in lines]
-                    for i, x in enumerate(lines):
-                        pair = i + 1 < len(lines) and probes[i + 1]
-                        if not probes[i] and not pair:
-                            continue
-                        found = list(own.matches(x, probes[i])) if probes[i] else []
-                        if i + 1 < len(lines) and (probes[i] or pair):
-                            found += own.matches(x + lines[i + 1], probes[i] + probes[i + 1])
-                        for k, c in found:
-                            label = own.labels[k]
-                            if c > best.get(label, (0.0, 0))[0]:
-                                best[label] = (c, i)
-                matches.append([{"label": label, "line": i, "containment": c} for label, (c, i) in sorted(best.items())])
+                    found = list(own.candidates(seen))
+                    at = [(i, w) for i, w in enumerate(words) if w in every] if found else []
+                    for k in found:
+                        containment, start = own.best(k, at)
+                        if containment * len(own.words[k]) >= own.least[k] - 1e-9 and (containment, -start) > best.get(own.labels[k], (0.0, 0)):
+                            best[own.labels[k]] = (containment, -start)
+                matches.append([{"label": label, "start": -i, "containment": c} for label, (c, i) in sorted(best.items())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(places, kind.field(2).type), pa.array(matches, kind.field(3).type)], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, places array<struct<start:long,label:string>>, matches array<struct<label:string,line:long,containment:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, places array<struct<start:long,label:string>>, matches array<struct<label:string,start:long,containment:double>>")

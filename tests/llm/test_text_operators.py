@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestore.llm.decontam import contamination, decontaminated, positional_index, proximity
-from lodestore.llm.licenses import license_scan, needed
+from lodestore.llm.licenses import TEMPLATES, license_scan, longest, needed
 from lodestore.llm.linededup import drop_boilerplate
 from lodestore.llm.mixing import mix_sources, mixed_documents, shared_targets
 from lodestore.llm.passages import BAND, HASHES, SHINGLE, WORDS, repeated_passages, shared_passages, signatures, window_minima
@@ -148,6 +148,37 @@ def test_licenses(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_against_every_block(spark):
+    """Notices broken over any lines, with changed words, against all runs of words of each text."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        label, text = TEMPLATES[i % len(TEMPLATES)]
+        own = text.split()
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = rng.choice(["x", "the license", ""])
+        body = [f"w{rng.randrange(50)}" for _ in range(20)] + own + rng.sample(["the", "rights", "license", "under", "of"], 3) + [f"w{rng.randrange(50)}" for _ in range(10)]
+        rows.append((i, "".join(w + rng.choice([" ", " ", "\n", "\n\n"]) for w in body)))
+    rows += [(500, "All rights reserved. " + "z " * 200_000 + "released under\nthe\nMIT License"), (501, rows[0][1]), (501, rows[0][1])]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"words": F.lit(1), "label": F.lit(2)})).collect()
+    assert len(got) == len(rows)
+    found = 0
+    for r in got:
+        w = words(dict(rows)[r["doc_id"]])
+        want = {}
+        for label, text in TEMPLATES if r["doc_id"] < 500 else ():
+            t = words(text)
+            best = max(len(set(t) & set(w[k : k + longest(text, 0.85)])) for k in range(len(w)))
+            if best >= needed(len(set(t)), 0.85):
+                want[label] = max(want.get(label, 0), best / len(set(t)))
+        if r["doc_id"] < 500:
+            assert {m["label"]: m["containment"] for m in r["matches"]} == pytest.approx(want)
+            found += len(want)
+        if r["doc_id"] == 500:
+            assert [(m["label"], m["start"]) for m in r["matches"]] == [("mit", 200_003), ("reserved", 0)]
+    assert found > 60
+
+
 def tree_windows(values, least):
     """(l, c, r) of the nodes of the Cartesian tree that span ``least`` places or more."""
     out, todo = [], [(0, len(values))]
