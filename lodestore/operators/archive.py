@@ -18,6 +18,8 @@ from lodestore.session import ship
 
 #: Bytes of distinct chunks, in first-seen order, from which a dictionary is trained; and its largest size.
 DICTIONARY_SAMPLE, DICTIONARY_BYTES = 1 << 20, 112_640
+#: A plan of so many chunks (32 bytes each) is broadcast; a longer one is joined by a shuffle.
+BROADCAST_CHUNKS = 500_000
 TABLES = ("files", "file_chunks", "chunks", "blocks")
 
 
@@ -79,21 +81,29 @@ class Archive:
         row = self.files.where(F.col("file_id") == file_id).orderBy("file_ord").first()
         return None if row is None else row["original_size"]
 
+    def placed(self) -> DataFrame:
+        """``files`` with their ``place`` in the listing: file_ord itself, or its rank if there are gaps."""
+        most = self.files.agg(F.max("file_ord")).first()[0]
+        if most is None or most + 1 == self.last["total_files"]:
+            return self.files.withColumn("place", F.col("file_ord"))
+        return with_ordinal(self.files, "file_ord", [], "place")
+
     def at(self, index: int | slice) -> DataFrame:
         """The file at a position of the listing, or those of a slice."""
         if isinstance(index, slice):
             lo, hi, step = index.indices(len(self))
-            inside = (F.col("file_ord") >= lo) & (F.col("file_ord") < hi) if step > 0 else (F.col("file_ord") <= lo) & (F.col("file_ord") > hi)
-            return self.files.where(inside & (F.pmod(F.col("file_ord") - lo, F.lit(abs(step))) == 0)).orderBy("file_ord" if step > 0 else F.desc("file_ord"))
+            place = F.col("place")
+            inside = (place >= lo) & (place < hi) if step > 0 else (place <= lo) & (place > hi)
+            return self.placed().where(inside & (F.pmod(place - lo, F.lit(abs(step))) == 0)).orderBy("place" if step > 0 else F.desc("place")).drop("place")
         n = len(self)
         if not -n <= index < n:
             raise IndexError(index)
-        return self.files.where(F.col("file_ord") == index % n)
+        return self.placed().where(F.col("place") == index % n).drop("place")
 
     def select(self, indices: Iterable[int]) -> DataFrame:
         """Files at these positions in the given order, repeats kept."""
-        asked = self.spark.createDataFrame(list(enumerate(indices)), "at long, file_ord long")
-        return self.files.join(asked, "file_ord").orderBy("at").drop("at")
+        asked = self.spark.createDataFrame(list(enumerate(indices)), "at long, place long")
+        return self.placed().join(asked, "place").orderBy("at").drop("at", "place")
 
     def listing(self) -> DataFrame:
         """(name, size, collides): a flat folder view, "/" as "_"; ``collides`` marks names of several files."""
@@ -184,7 +194,8 @@ def write_version(spark: SparkSession, path: str, files: DataFrame, previous: Ar
     codec = codec or (previous.blocks.select("codec").first() or ["zstd"])[0] if previous is not None else codec or "zstd"
     put = lambda df, table: df.write.mode("overwrite").parquet(f"{path}/{table}/part={version}")
     own = lambda table: spark.read.parquet(f"{path}/{table}/part={version}")
-    base_file = 0 if previous is None else last["total_files"]
+    # behind the largest position, as positions may have gaps
+    base_file = 0 if previous is None else previous.files.agg(F.coalesce(F.max("file_ord") + 1, F.lit(0))).first()[0]
     base = (0, 0, 0) if previous is None else previous.chunks.agg(F.coalesce(F.max("first_seen") + 1, F.lit(0)), F.coalesce(F.max("block_id") + 1, F.lit(0))).first() + previous.blocks.agg(F.coalesce(F.max(F.col("offset") + F.col("stored_size")), F.lit(0))).first()
 
     # chunk once: the data waits in a scratch table that is no part of the archive
@@ -199,11 +210,17 @@ def write_version(spark: SparkSession, path: str, files: DataFrame, previous: Ar
     named = files.select("file_id", (F.col("file_ord") + base_file).alias("file_ord")).join(sizes, "file_ord", "left")
     put(named.select("file_id", "file_ord", F.coalesce("original_size", F.lit(0)).alias("original_size"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")), "files")
 
+    # nothing is committed yet: two files of one position would be joined to one when read
+    if own("files").groupBy("file_ord").count().where("count > 1").limit(1).count():
+        raise ValueError("several files have one file_ord")
+
     fresh = recipe if previous is None else recipe.join(previous.chunks.select("hash"), "hash", "left_anti")
     unique = with_ordinal(first_seen(fresh), "file_ord", ["pos"], "first_seen")
     plan = plan_blocks(unique, limit if mode == "dedup" else (0 if mode == "speed" else SOLID_BYTES), strict=mode == "size")
-    plan = plan.select("hash", F.col("size").alias("original_size"), (F.col("block_id") + base[1]).alias("block_id"), "inner_offset", (F.col("first_seen") + base[0]).alias("first_seen"))
-    put(plan, "chunks")
+    plan = plan.select("hash", F.col("size").alias("original_size"), (F.col("block_id") + base[1]).alias("block_id"), "inner_offset", (F.col("first_seen") + base[0]).alias("first_seen"), "file_ord", "pos")
+    plan.write.parquet(f"{scratch}-plan")
+    firsts = spark.read.parquet(f"{scratch}-plan")
+    put(firsts.drop("file_ord", "pos"), "chunks")
     plan = own("chunks")
     sample = None
     if dictionary:
@@ -217,10 +234,11 @@ def write_version(spark: SparkSession, path: str, files: DataFrame, previous: Ar
                 break
         rows = chunked.join(F.broadcast(spark.createDataFrame(want, "hash string")), "hash").dropDuplicates(["hash"]).select("hash", "data").collect() if want else []
         sample = train_dictionary([bytes(r["data"]) for r in sorted(rows, key=lambda r: r["hash"])], DICTIONARY_BYTES)
-    # one copy of each new chunk's data: that of its first occurrence
-    firsts = unique.select("hash", "file_ord", "pos")
-    data = chunked.select("hash", "file_ord", "pos", "data").join(firsts, ["hash", "file_ord", "pos"], "left_semi").select("hash", "data")
-    packed = pack_blocks(plan.join(data, "hash"), codec, level, sample)
+    # the data of each new chunk's first occurrence moves to its block; a short plan goes to where the data is
+    n_new = plan.count()
+    placed = firsts.select("file_ord", "pos", "block_id", "inner_offset")
+    data = chunked.select("file_ord", "pos", "data").join(F.broadcast(placed) if n_new <= BROADCAST_CHUNKS else placed, ["file_ord", "pos"])
+    packed = pack_blocks(data, codec, level, sample)
     if key is not None:
         packed = with_key(packed, key, "__key").select("block_id", encrypted(F.col("payload"), F.col("__key")).alias("payload"))
     packed = packed.select("block_id", F.octet_length("payload").cast("long").alias("stored_size"), F.crc32("payload").alias("crc32"), F.lit(codec).alias("codec"), F.lit(key is not None).alias("encrypted"), F.lit(str(version) if sample else None).cast("string").alias("dictionary_id"), "payload")
@@ -229,9 +247,9 @@ def write_version(spark: SparkSession, path: str, files: DataFrame, previous: Ar
     offsets = block_offsets(packed.select("block_id", "stored_size"), base[2]).select("block_id", "offset")
     put(packed.join(offsets, "block_id").select("block_id", "offset", "stored_size", "crc32", "codec", "encrypted", "dictionary_id", "payload"), "blocks")
     _delete(spark, scratch)
-    _delete(spark, f"{scratch}-blocks")
+    for part in ("plan", "blocks"):
+        _delete(spark, f"{scratch}-{part}")
 
-    n_new = plan.count()
     files_row = own("files").agg(F.count("*"), F.coalesce(F.sum("original_size"), F.lit(0))).first()
     unique_bytes = plan.agg(F.coalesce(F.sum("original_size"), F.lit(0))).first()[0]
     stored = own("blocks").agg(F.coalesce(F.sum("stored_size"), F.lit(0))).first()[0]
@@ -255,7 +273,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def pack(files: DataFrame, path: str, name: str = "archive", mode: str = "dedup", codec: str = "zstd", level: int = 3, dictionary: bool = False, key: bytes | None = None, limit: int = BLOCK_BYTES, chunked: DataFrame | None = None) -> Archive:
     """Packs ``files(file_id, file_ord, bytes)`` into an archive folder.
 
-    ``mode``: "dedup" (content-defined chunks, solid blocks of ``limit`` bytes), "speed" (a block per file) or "size"
+    ``file_ord`` orders the files and names each once; gaps are allowed, a repeated one is an error. Ids may repeat: a
+    lookup takes the first. ``mode``: "dedup" (content-defined chunks, solid blocks of ``limit`` bytes), "speed" (a block per file) or "size"
     (whole files in solid blocks of more than 64 MiB). ``chunked`` takes the rows of ``chunk_files`` made elsewhere.
     """
     if mode not in ("dedup", "speed", "size"):

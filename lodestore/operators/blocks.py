@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestore.functions.codecs import compress, decompress
+from lodestore.operators.dedup import running_sum
 
 # A block is closed at 4 MiB; the per-file mode's solid blocks at more than 64 MiB.
 BLOCK_BYTES = 4 << 20
@@ -32,7 +32,7 @@ def fold(sizes: np.ndarray, limit: int, strict: bool = False) -> np.ndarray:
 
 
 def plan_blocks(unique: DataFrame, limit: int = BLOCK_BYTES, strict: bool = False, segment: int = SEGMENT_CHUNKS) -> DataFrame:
-    """(hash, size, first_seen, block_id, inner_offset) for ``unique(hash, size, first_seen)``.
+    """``unique(hash, size, first_seen, file_ord, pos)`` with block_id and inner_offset.
 
     Chunks fill blocks in first-seen order. Only these short rows move; a segment of ``segment`` chunks is folded by one
     task, so the plan of a large archive is made in parallel.
@@ -46,10 +46,10 @@ def plan_blocks(unique: DataFrame, limit: int = BLOCK_BYTES, strict: bool = Fals
         heads = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
         inner = before - before[heads][block] if len(block) else before
         base = rows.column("segment").to_numpy() * segment
-        return pa.table({"hash": rows.column("hash"), "size": rows.column("size"), "first_seen": rows.column("first_seen"), "block_id": pa.array(base + block), "inner_offset": pa.array(inner)})
+        return pa.table({"hash": rows.column("hash"), "size": rows.column("size"), "first_seen": rows.column("first_seen"), "file_ord": rows.column("file_ord"), "pos": rows.column("pos"), "block_id": pa.array(base + block), "inner_offset": pa.array(inner)})
 
-    cut = unique.select("hash", "size", "first_seen", F.floor(F.col("first_seen") / segment).alias("segment"))
-    return cut.groupBy("segment").applyInArrow(run, "hash string, size long, first_seen long, block_id long, inner_offset long")
+    cut = unique.select("hash", "size", "first_seen", "file_ord", "pos", F.floor(F.col("first_seen") / segment).alias("segment"))
+    return cut.groupBy("segment").applyInArrow(run, "hash string, size long, first_seen long, file_ord long, pos int, block_id long, inner_offset long")
 
 
 def pack_blocks(planned: DataFrame, codec: str = "zstd", level: int = 3, dictionary: bytes | None = None) -> DataFrame:
@@ -65,8 +65,7 @@ def pack_blocks(planned: DataFrame, codec: str = "zstd", level: int = 3, diction
 
 def block_offsets(blocks: DataFrame, start: int = 0) -> DataFrame:
     """Adds each block's offset: ``start`` and the stored sizes of the blocks before it."""
-    before = F.sum("stored_size").over(Window.orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1))
-    return blocks.withColumn("offset", F.lit(start) + F.coalesce(before, F.lit(0)))
+    return running_sum(blocks, "block_id", "stored_size", "offset").withColumn("offset", F.col("offset") + F.lit(start))
 
 
 def decode_blocks(blocks: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:

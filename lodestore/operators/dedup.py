@@ -23,6 +23,18 @@ def with_ordinal(rows: DataFrame, key: str, then: list[str], name: str, span: in
     return spans.withColumn("__at", inside).join(before, "__span").withColumn(name, F.col("__before") + F.col("__at")).drop("__span", "__at", "__before")
 
 
+def running_sum(rows: DataFrame, key: str, size: str, name: str, span: int = ORDER_SPAN) -> DataFrame:
+    """Adds the sum of ``size`` over the rows with a smaller ``key`` (a non-negative long, each once).
+
+    As in ``with_ordinal``, ranges of keys are summed apart and a prefix sum, one row a range, puts them together.
+    """
+    spans = rows.withColumn("__span", F.floor(F.col(key) / span))
+    totals = spans.groupBy("__span").agg(F.sum(size).alias("__total"))
+    before = totals.select("__span", F.coalesce(F.sum("__total").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spans.withColumn("__inside", inside).join(before, "__span").withColumn(name, F.col("__before") + F.col("__inside")).drop("__span", "__inside", "__before")
+
+
 def first_seen(chunks: DataFrame) -> DataFrame:
     """(hash, size, file_ord, pos) of the first occurrence of each distinct hash of ``chunks(hash, size, file_ord, pos)``.
 

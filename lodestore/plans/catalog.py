@@ -21,6 +21,7 @@ from lodestore.operators.archive import Archive, pack
 from lodestore.operators.blocks import plan_blocks
 from lodestore.operators.sampling import DataLoaderCheckpoint, DeterministicSampler
 from lodestore.session import ship
+from lodestore.sources.files import with_file_ord
 from lodestore.storage import scratch_path
 
 WHOLE = 1 << 30
@@ -209,6 +210,23 @@ def append_summary(spark, sf_dir):
     return archive.summary().select((F.col("version") + 1).cast("long").alias("versions"), "total_files", "total_chunks", "total_original_bytes")
 
 
+@query("select 'doc_' || doc_id as file_id, sha256(coalesce(text, '')) as sha256 from documents")
+def append_gaps(spark, sf_dir):
+    """An archive whose positions have gaps, and an append whose positions have gaps too."""
+    files = documents(spark, sf_dir)
+    path = scratch_path(spark, "archive")
+    pack(files.where("file_ord % 5 < 4"), path).append(files.where("file_ord % 5 = 4"))
+    return Archive(spark, path).read().select("file_id", F.sha2("bytes", 256).alias("sha256"))
+
+
+@query("select 'name_' || doc_id % 50 as file_id, sha256(coalesce(text, '')) as sha256 from documents")
+def repeated_ids(spark, sf_dir):
+    """Files that share names, in positions by name."""
+    named = documents(spark, sf_dir).select(F.concat(F.lit("name_"), F.col("file_ord") % 50).alias("file_id"), "bytes")
+    archive = pack(with_file_ord(named), scratch_path(spark, "archive"))
+    return archive.read().select("file_id", F.sha2("bytes", 256).alias("sha256"))
+
+
 @query("select distinct sha256(text) as hash from documents where source = 'src0' and strlen(text) > 0 and sha256(text) in (select sha256(text) from documents where source <> 'src0')")
 def shared_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source")

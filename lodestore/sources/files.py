@@ -10,12 +10,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestore.functions.columns import basename
 from lodestore.session import ship
+from lodestore.storage import scratch_path
 
 #: Whole archives and files are cells of a table: one may hold 2 GiB at most.
 BINARY_FIELDS = "path string, modificationTime timestamp, length long, content binary"
@@ -26,17 +27,32 @@ def _binary(spark: SparkSession, path: str | list[str], recursive: bool = False)
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
-def with_file_ord(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """Adds the position by ``key``. Only the keys are ordered; the bytes stay where they are."""
-    ids = files.select(key).distinct()
-    ranked = ids.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("file_ord"))
-    return files.join(ranked, key)
+def with_file_ord(files: DataFrame, key: str = "file_id", then: Column | None = None) -> DataFrame:
+    """Adds the position of each row by ``key``, rows of one key by ``then`` (by default the SHA-256 of their bytes).
+
+    The keys and their counts are sorted over ranges, of which one sum each is put together; so no task orders them all.
+    Rows move once, to their key's count. Rows that agree in ``then`` too are equal to a reader and stand in any order.
+    """
+    spark = files.sparkSession
+    then = F.sha2("bytes", 256) if then is None else then
+    counts = files.groupBy(key).agg(F.count("*").alias("__n"))
+    # written, as a range's number must be the same each time it is read
+    path = scratch_path(spark, "names")
+    counts.repartitionByRange(key).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.parquet(path)
+    parts = counts.groupBy("__part").agg(F.sum("__n").alias("__total"))
+    parts = parts.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("__inside", inside).join(F.broadcast(parts), "__part").select(F.col(key).alias("__key"), (F.col("__before") + F.col("__inside")).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(then)) - 1
+    placed = files.withColumn("__nth", nth).join(starts, F.col(key).eqNullSafe(F.col("__key")))
+    return placed.withColumn("file_ord", (F.col("__start") + F.col("__nth")).cast("long")).drop("__nth", "__key", "__start")
 
 
 def directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(file_id, file_ord, bytes) of the regular files of a folder; a file that can't be read is an error."""
-    found = _binary(spark, path, recursive).select(basename(F.col("path")).alias("file_id"), F.col("content").alias("bytes"))
-    return with_file_ord(found).select("file_id", "file_ord", "bytes")
+    found = _binary(spark, path, recursive).select(basename(F.col("path")).alias("file_id"), "path", F.col("content").alias("bytes"))
+    return with_file_ord(found, then=F.col("path")).select("file_id", "file_ord", "bytes")
 
 
 def _entries(kind: str):

@@ -20,7 +20,8 @@ from lodestore.operators.sampling import DataLoaderCheckpoint, DeterministicSamp
 from lodestore.operators.stats import Metrics
 from lodestore.sources import files as sources
 from lodestore.sources.container import Container, export, pack_message, parse_header, read_range, unpack_message
-from lodestore.streaming.ingest import ingest_folder
+from lodestore.sources.files import directory, with_file_ord
+from lodestore.streaming.ingest import ingest_batch, ingest_folder
 
 KEY = b"\x42" * 32
 
@@ -258,3 +259,31 @@ def test_stream_ingest(spark, tmp_path):
     from lodestore.streaming.ingest import ingest_batch
 
     assert ingest_batch(spark, table(spark, {"z": b"z"}).drop("file_ord"), path, again.last["batch_id"]) == 0
+
+
+def test_gaps_and_repeated_ids(spark, tmp_path):
+    kind = "file_id string, file_ord long, bytes binary"
+    path = str(tmp_path / "gaps")
+    old = spark.createDataFrame([("n0", 0, b"zero"), ("n3", 3, b"three")], kind)
+    archive = pack(old, path)
+    archive.append(spark.createDataFrame([("n4", 0, b"four"), ("n6", 2, b"six")], kind))
+    archive = Archive(spark, path)
+    assert {r["file_id"]: bytes(r["bytes"]) for r in archive.read().collect()} == {"n0": b"zero", "n3": b"three", "n4": b"four", "n6": b"six"}
+    assert [r["file_id"] for r in archive.at(slice(1, 4)).collect()] == ["n3", "n4", "n6"] and archive.at(-1).first()["file_id"] == "n6"
+    assert [r["file_id"] for r in archive.select([3, 0, 3]).collect()] == ["n6", "n0", "n6"]
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([("a", 0, b"x"), ("b", 0, b"y")], kind), str(tmp_path / "same"))
+    named = with_file_ord(spark.createDataFrame([("a", b"one"), ("a", b"two2"), ("b", b"x"), (None, b"y")], "file_id string, bytes binary"))
+    assert sorted(r["file_ord"] for r in named.collect()) == [0, 1, 2, 3]
+    archive = pack(named.where("file_id is not null"), str(tmp_path / "named"))
+    assert sorted((r["file_id"], bytes(r["bytes"])) for r in archive.read().collect()) == [("a", b"one"), ("a", b"two2"), ("b", b"x")]
+
+
+def test_equal_names_of_folders(spark, tmp_path):
+    for folder, text in (("x", "first"), ("y", "second one")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "same.txt").write_text(text)
+    found = directory(spark, str(tmp_path / "in"), recursive=True).orderBy("file_ord").collect()
+    assert [(r["file_id"], r["file_ord"], bytes(r["bytes"])) for r in found] == [("same.txt", 0, b"first"), ("same.txt", 1, b"second one")]
+    assert ingest_batch(spark, directory(spark, str(tmp_path / "in"), recursive=True).drop("file_ord"), str(tmp_path / "a"), 0) == 2
+    assert sorted(bytes(r["bytes"]) for r in Archive(spark, str(tmp_path / "a")).read().collect()) == [b"first", b"second one"]
