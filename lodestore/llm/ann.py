@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int
     """
     spark = vectors.sparkSession
     index = build_index(vectors)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(spark, 1)
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").distinct()
     blocks = max(1, -(-asked.count() // query_rows))
     found = None
@@ -146,8 +146,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int
                 own.append(v)
         shared = spark.sparkContext.broadcast({n: (np.array(ids), np.stack(own)) for n, (ids, own) in by_size.items()})
         part = index.mapInPandas(_search(shared, k), "query_id long, vec_id long, score double")
-        part = stash(part, "near") if blocks > 1 else part
+        part = stash(part, "near")
         found = part if found is None else found.union(part)
+    small_batches(spark)
     # the k best so far of each task move, not all that its segments found
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -15,7 +15,7 @@ from lodestore.llm.shared import small_batches, stash, without
 from lodestore.llm.tokens import ALNUM, alnum_words, text_buffers, word_hashes
 
 #: Benchmark text that one broadcast block holds at most; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 
 _INDEX = "segment string, doc_ids array<long>, bounds binary, terms binary, starts binary, postings binary"
 _FOUND = "segment string, row int, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
@@ -162,12 +162,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
 
     Null texts have no words. Items without words match nothing; rows with a null item_id are left out; repeated items
     and item_ids count once. Repeated documents each get a row, a null doc_id stays null. An empty benchmark gives
-    every document without hits; empty documents give no rows. A benchmark above ``block_bytes`` is searched block by
+    every document without hits; empty documents give no rows. A very long text is a segment of its own. A benchmark above ``block_bytes`` is searched block by
     block against the same stored index.
     """
     spark = docs.sparkSession
     index = positional_index(docs)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(spark, 4)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
@@ -175,10 +175,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
         phrases = spark.sparkContext.broadcast(Phrases([tuple(x) for x in own], width))
-        part = index.mapInPandas(_found(phrases), _FOUND)
-        if blocks > 1:
-            part = stash(part, "found")
+        part = stash(index.mapInPandas(_found(phrases), _FOUND), "found")
         found = part if found is None else found.union(part)
+    small_batches(spark)
     if blocks > 1:
         found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = found.withColumn("spans", F.expr("""aggregate(spans, cast(array() as array<struct<start:bigint,stop:bigint>>), (acc, x) ->
@@ -200,7 +199,7 @@ def proximity(index: DataFrame, phrases: list[Row] | list[tuple[int, str]], slop
     ``index`` comes from ``positional_index``. Phrases without words match nothing.
     """
     spark = index.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(spark, 4)
     asked = []
     for item, text in phrases:
         words = sorted(set(alnum_words((text or "").encode())))
@@ -230,4 +229,6 @@ def proximity(index: DataFrame, phrases: list[Row] | list[tuple[int, str]], slop
                     out += [(seg.doc_ids[d], item, s, w) for d, (w, s) in best.items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "width"])
 
-    return index.mapInPandas(run, "doc_id long, item_id long, start long, width long")
+    found = stash(index.mapInPandas(run, "doc_id long, item_id long, start long, width long"), "near-words")
+    small_batches(spark)
+    return found

@@ -59,7 +59,11 @@ def unstash(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that Python workers get, and lets the workers import this package."""
+    """Bounds the Arrow batches that Python workers get, and lets the workers import this package.
+
+    The session is left at BATCH_ROWS: whoever needs another number stores its results while that holds and calls this
+    again, as a frame that isn't stored runs under the number that holds later.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

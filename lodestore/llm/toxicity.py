@@ -191,7 +191,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, window_words: int = 1) -> DataF
 
     Null and empty texts have no windows and get the score of a text without toxic windows. Labels without a document,
     with nulls or of the held-out fold teach nothing. Without labels of class 1 every score is next to 0. Repeated rows
-    are scored alike; an empty table gives no rows. At most TOXIC_SAMPLE + ORDINARY_SAMPLE texts teach, in one task.
+    are scored alike; an empty table gives no rows; a very long text is scored whole. At most TOXIC_SAMPLE and
+    ORDINARY_SAMPLE texts of LONGEST_SAMPLE bytes or less teach, in one task; of the ordinary ones runs of 20 words at equal
+    distances, about 30,000 in all, make the dictionary, and all of the toxic ones' typical terms theirs.
     """
     shared = _shared_model(docs, labels, window_words)
 
