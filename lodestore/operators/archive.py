@@ -13,6 +13,7 @@ from lodestore.functions.codecs import train_dictionary
 from lodestore.functions.columns import decrypted, encrypted, flat_name, safe_path, verified, with_key
 from lodestore.operators.blocks import BLOCK_BYTES, SOLID_BYTES, block_offsets, decode_blocks, pack_blocks, plan_blocks
 from lodestore.operators.dedup import first_seen, ratio, with_ordinal
+from lodestore.operators.stats import Metrics
 from lodestore.schemas import SUMMARY
 from lodestore.session import ship
 
@@ -114,11 +115,11 @@ class Archive:
 
     # bytes
 
-    def read(self, condition: Column | None = None) -> DataFrame:
+    def read(self, condition: Column | None = None, metrics: Metrics | None = None) -> DataFrame:
         """(file_id, file_ord, bytes) of the files that meet a condition on ``files``, byte for byte.
 
         Only blocks that hold their chunks are read, each is decoded once. A missing chunk, a changed block or a wrong
-        total size is an error.
+        total size is an error. ``metrics`` counts the blocks and bytes that tasks read and decode.
         """
         files = self.files if condition is None else self.files.where(condition)
         recipe = self.file_chunks.join(files.select("file_ord"), "file_ord", "left_semi") if condition is not None else self.file_chunks
@@ -134,7 +135,7 @@ class Archive:
         else:
             payload = F.when(F.col("encrypted"), F.raise_error(F.lit("the archive is encrypted and no key was given"))).otherwise(payload)
         dictionaries = {str(r["version"]): bytes(r["dictionary"]) for r in self.versions.where("dictionary is not null").select("version", "dictionary").collect()}
-        raw = decode_blocks(blocks.select("block_id", "dictionary_id", payload.alias("payload")), dictionaries)
+        raw = decode_blocks(blocks.select("block_id", "dictionary_id", payload.alias("payload")), dictionaries, metrics)
         pieces = placed.join(raw, "block_id").select("file_ord", "pos", F.expr("substring(raw, cast(inner_offset + 1 as int), cast(original_size as int))").alias("data"))
         whole = pieces.groupBy("file_ord").agg(F.expr("listagg(data) within group (order by pos)").alias("bytes"))
         out = files.join(whole, "file_ord", "left").withColumn("bytes", F.coalesce("bytes", F.expr("cast('' as binary)")))

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.functions.codecs import compress, decompress
+from lodestore.functions.codecs import compress, compress_udf, decompress
 from lodestore.operators.dedup import running_sum
+from lodestore.operators.stats import Metrics
 
 # A block is closed at 4 MiB; the per-file mode's solid blocks at more than 64 MiB.
 BLOCK_BYTES = 4 << 20
@@ -68,12 +69,34 @@ def block_offsets(blocks: DataFrame, start: int = 0) -> DataFrame:
     return running_sum(blocks, "block_id", "stored_size", "offset").withColumn("offset", F.col("offset") + F.lit(start))
 
 
-def decode_blocks(blocks: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+def decode_blocks(blocks: DataFrame, dictionaries: dict[str, bytes], metrics: Metrics | None = None) -> DataFrame:
     """(block_id, raw) for ``blocks(block_id, dictionary_id, payload)``: each block is decoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [decompress(p, dictionaries.get(d)) for d, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            if metrics is not None:
+                metrics.add("blocks_decompressed", len(raw))
+                metrics.add("bytes_read", sum(len(p) for p in b.column(2).to_pylist()))
+                metrics.add("bytes_written", sum(map(len, raw)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["block_id", "raw"])
 
     return blocks.select("block_id", "dictionary_id", "payload").mapInArrow(run, "block_id long, raw binary")
+
+
+def compared(files: DataFrame, codec: str = "zstd", level: int = 3, block: int = BLOCK_BYTES) -> DataFrame:
+    """(mode, units, original_bytes, stored_bytes) of ``files(file_ord, bytes)`` compressed file by file and in solid blocks.
+
+    A solid block holds the files of consecutive positions that start within the same ``block`` bytes.
+    """
+    sized = files.select("file_ord", "bytes", F.octet_length("bytes").cast("long").alias("size"))
+    placed = running_sum(sized, "file_ord", "size", "at").withColumn("unit", F.floor(F.col("at") / block))
+
+    def solid(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("file_ord")
+        raw = b"".join(x.as_py() for x in rows.column("bytes").combine_chunks())
+        return pa.table({"original": pa.array([len(raw)], pa.int64()), "stored": pa.array([len(compress(raw, codec, level))], pa.int64())})
+
+    each = sized.select(F.lit("per_file").alias("mode"), F.col("size").alias("original"), F.octet_length(compress_udf(codec, level)("bytes")).cast("long").alias("stored"))
+    blocks = placed.select("unit", "file_ord", "bytes").groupBy("unit").applyInArrow(solid, "original long, stored long").select(F.lit("solid").alias("mode"), "original", "stored")
+    return each.union(blocks).groupBy("mode").agg(F.count("*").alias("units"), F.sum("original").alias("original_bytes"), F.sum("stored").alias("stored_bytes"))

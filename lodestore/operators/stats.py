@@ -22,10 +22,21 @@ def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rest.join(p99, group).select(group, "n", "mean", "p50", "p99")
 
 
+def throughput(rows: DataFrame, group: str, size: str, seconds: str) -> DataFrame:
+    """(group, bytes, mb_s): all bytes of a group and its 10^6 bytes a second, rounded to 6 places; null without time."""
+    usable = rows.where(F.col(size).isNotNull() & F.col(seconds).isNotNull())
+    total = usable.groupBy(group).agg(F.sum(size).cast("long").alias("bytes"), F.sum(seconds).alias("__seconds"))
+    rate = F.when(F.col("__seconds") > 0, F.round(F.col("bytes") / 1e6 / F.col("__seconds"), 6))
+    return total.select(group, "bytes", rate.alias("mb_s"))
+
+
 class Metrics:
-    """Counters that tasks add to and the driver reads."""
+    """Counters that tasks add to and the driver reads. ``Archive.read`` feeds those it is given.
+
+    A task that runs again, as after a lost executor, counts again: they describe the work done, not the result.
+    """
 
-    NAMES = ("chunks_read", "bytes_read", "cache_hits", "cache_misses", "blocks_decompressed", "files_read")
+    NAMES = ("chunks_read", "bytes_read", "bytes_written", "cache_hits", "cache_misses", "blocks_decompressed", "files_read")
 
     def __init__(self, spark: SparkSession):
         self._counters = {n: spark.sparkContext.accumulator(0) for n in self.NAMES}

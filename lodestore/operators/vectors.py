@@ -85,6 +85,15 @@ def search_batch(index: DataFrame, queries: DataFrame, k: int, block: int = QUER
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "file_id", "score")
 
 
+def attach(files: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``vectors(file_id, space_id, vector)`` with the ``file_ord`` of the first file of that id; an id that ``files(file_id,
+    file_ord)`` doesn't have is an error when the rows are read. Vectors may repeat; a null id is missing."""
+    first = files.groupBy("file_id").agg(F.min("file_ord").alias("file_ord"))
+    missing = F.raise_error(F.concat(F.lit("no file "), F.coalesce("file_id", F.lit("without an id"))))
+    found = vectors.join(first, "file_id", "left")
+    return found.select("file_id", F.when(F.col("file_ord").isNotNull(), F.col("file_ord")).otherwise(missing).alias("file_ord"), "space_id", "vector")
+
+
 def to_json(index: DataFrame) -> DataFrame:
     """(json) one line per vector: a JSON index that reads back without holding the whole of it anywhere."""
     return index.select(F.to_json(F.struct("file_id", "vector")).alias("json"))

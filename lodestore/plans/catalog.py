@@ -18,11 +18,15 @@ from lodestore.functions.chunking import chunk_files
 from lodestore.functions.codecs import compress_udf, decompress_udf
 from lodestore.operators import dedup, stats, vectors
 from lodestore.operators.archive import Archive, pack
-from lodestore.operators.blocks import plan_blocks
+from lodestore.operators.blocks import block_offsets as offsets_of
+from lodestore.operators.blocks import compared, plan_blocks
 from lodestore.operators.sampling import DataLoaderCheckpoint, DeterministicSampler
 from lodestore.session import ship
+from lodestore.sources import files as sources
+from lodestore.sources.container import Container, export
 from lodestore.sources.files import with_file_ord
-from lodestore.storage import scratch_path
+from lodestore.storage import scratch_folder, scratch_path
+from lodestore.streaming.ingest import ingest_folder
 
 WHOLE = 1 << 30
 KEY, WRONG_KEY = b"\x42" * 32, b"\x00" * 32
@@ -54,8 +58,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file_id"), F.col("doc_id").alias("file_ord"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
 
 
+_packed: dict[tuple[str, str], str] = {}
+
+
+def packed(spark: SparkSession, sf_dir: str) -> Archive:
+    """An archive of ``documents`` with whole files as chunks; packed once for all queries of an application."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _packed:
+        files, path = documents(spark, sf_dir), scratch_path(spark, "archive")
+        pack(files, path, limit=BLOCK_64K, chunked=chunk_files(files, least=WHOLE))
+        _packed[at] = path
+    return Archive(spark, _packed[at])
+
+
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("file_id", "file_ord", F.octet_length("bytes").cast("long").alias("original_size"))
+    return packed(spark, sf_dir).files.select("file_id", "file_ord", "original_size")
 
 
 def whole(files: DataFrame) -> DataFrame:
@@ -72,23 +89,24 @@ def list_files(spark, sf_dir):
 
 @query(f"select original_size from ({_FILES}) where file_id = 'doc_7'")
 def file_size(spark, sf_dir):
-    return listed(spark, sf_dir).where("file_id = 'doc_7'").select("original_size")
+    return spark.createDataFrame([(packed(spark, sf_dir).file_size("doc_7"),)], "original_size long")
 
 
 @query("select 'doc_' || doc_id as file_id, sha256(text) as sha256 from documents where doc_id = 42")
 def lookup_file(spark, sf_dir):
-    return documents(spark, sf_dir).where("file_id = 'doc_42'").orderBy("file_ord").limit(1).select("file_id", F.sha2("bytes", 256).alias("sha256"))
+    found = spark.createDataFrame([("doc_42", bytearray(packed(spark, sf_dir)["doc_42"]))], "file_id string, bytes binary")
+    return found.select("file_id", F.sha2("bytes", 256).alias("sha256"))
 
 
 @query(f"select file_id, file_ord, original_size from ({_FILES}) where file_ord >= 10 and file_ord < 100 and (file_ord - 10) % 7 = 0")
 def slice_files(spark, sf_dir):
-    return listed(spark, sf_dir).where((F.col("file_ord") >= 10) & (F.col("file_ord") < 100) & (F.pmod(F.col("file_ord") - 10, F.lit(7)) == 0))
+    return packed(spark, sf_dir).at(slice(10, 100, 7)).select("file_id", "file_ord", "original_size")
 
 
 @query(f"select a.place, f.file_id from (values (0, 5), (1, 3), (2, 5), (3, 199), (4, 0)) a(place, i) join ({_FILES}) f on f.file_ord = a.i")
 def select_indices(spark, sf_dir):
-    asked = spark.createDataFrame([(k, i) for k, i in enumerate([5, 3, 5, 199, 0])], "place int, file_ord long")
-    return listed(spark, sf_dir).join(asked, "file_ord").select("place", "file_id")
+    found = packed(spark, sf_dir).select([5, 3, 5, 199, 0]).collect()
+    return spark.createDataFrame([(k, r["file_id"]) for k, r in enumerate(found)], "place int, file_id string")
 
 
 @query("select page_id, url from pages where ends_with(url, '.html') and not starts_with(split_part(url, '/', -1), '._')")
@@ -187,16 +205,16 @@ def block_plan(spark, sf_dir):
 
 @query(f"{_FOLD}, b as (select block_id, sum(size)::bigint as raw_size, count(*) as n_chunks from f group by block_id) select block_id, raw_size, n_chunks, (coalesce(sum(raw_size) over (order by block_id rows between unbounded preceding and 1 preceding), 0) + 32)::bigint as start from b")
 def block_offsets(spark, sf_dir):
-    blocks = _planned(spark, sf_dir).groupBy("block_id").agg(F.sum("size").alias("raw_size"), F.count("*").alias("n_chunks"))
-    before = F.sum("raw_size").over(Window.orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1))
-    return blocks.withColumn("start", (F.coalesce(before, F.lit(0)) + 32).cast("long"))
+    blocks = _planned(spark, sf_dir).groupBy("block_id").agg(F.sum("size").alias("stored_size"), F.count("*").alias("n_chunks"))
+    return offsets_of(blocks, 32).select("block_id", F.col("stored_size").alias("raw_size"), "n_chunks", F.col("offset").cast("long").alias("start"))
 
 
 @query("select count(distinct sha256(text)) as new_chunks, count(distinct sha256(text)) filter (where doc_id % 10 = 4) as new_in_4 from documents where doc_id % 5 = 4 and strlen(text) > 0 and sha256(text) not in (select sha256(text) from documents where doc_id % 5 < 4)")
 def append_new_chunks(spark, sf_dir):
     chunks = whole(documents(spark, sf_dir))
-    fresh = chunks.where("file_ord % 5 = 4").join(chunks.where("file_ord % 5 < 4").select("hash"), "hash", "left_anti")
-    return fresh.agg(F.count_distinct("hash").alias("new_chunks"), F.count_distinct(F.when(F.col("file_ord") % 10 == 4, F.col("hash"))).alias("new_in_4"))
+    known = chunks.where("file_ord % 5 < 4")
+    new = lambda condition, name: dedup.new_chunks(chunks.where(condition), known).agg(F.count("*").alias(name))
+    return new("file_ord % 5 = 4", "new_chunks").join(new("file_ord % 10 = 4", "new_in_4"))
 
 
 @query("select 2::bigint as versions, count(*) as total_files, count(distinct sha256(text)) filter (where strlen(text) > 0) as total_chunks, sum(strlen(text))::bigint as total_original_bytes from documents")
@@ -367,3 +385,118 @@ def shard_coverage(spark, sf_dir):
     shards = [sampler.shard(spark, 1, r, 4) for r in range(4)]
     every = shards[0].union(shards[1]).union(shards[2]).union(shards[3])
     return every.groupBy("sample_index").agg(F.count("*").alias("times"))
+
+
+# archives, sources and streams, each through the whole engine
+
+_BYTES = "select 'doc_' || doc_id as file_id, sha256(coalesce(text, '')) as sha256 from documents"
+
+
+def _hashed(files: DataFrame) -> DataFrame:
+    return files.select("file_id", F.sha2("bytes", 256).alias("sha256"))
+
+
+@query("select count(*) as total_files, sum(strlen(text))::bigint as original_bytes, count(*) filter (where strlen(text) > 0) as chunk_refs, count(distinct sha256(text)) filter (where strlen(text) > 0) as total_chunks, false as encrypted, false as has_dictionary from documents")
+def archive_info(spark, sf_dir):
+    return packed(spark, sf_dir).info().select("total_files", "original_bytes", "chunk_refs", "total_chunks", "encrypted", "has_dictionary")
+
+
+@query("select replace(url, '/', '_') as name, strlen(coalesce(html, ''))::bigint as size, count(*) over (partition by replace(url, '/', '_')) > 1 as collides from pages")
+def archive_listing(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("file_id"), F.col("page_id").alias("file_ord"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("bytes"))
+    return pack(pages, scratch_path(spark, "archive")).listing()
+
+
+@query("select 'doc_' || doc_id as file_id, lower(substring(hex(encode(text)), 21, 40)) as piece from documents where doc_id in (0, 7, 42)")
+def archive_byte_range(spark, sf_dir):
+    archive = packed(spark, sf_dir)
+    return spark.createDataFrame([(i, archive.byte_range(i, 10, 20).hex()) for i in ("doc_0", "doc_7", "doc_42")], "file_id string, piece string")
+
+
+@query(_BYTES)
+def dictionary_roundtrip(spark, sf_dir):
+    return _hashed(pack(documents(spark, sf_dir), scratch_path(spark, "archive"), dictionary=True).read())
+
+
+@query(f"{_BYTES} union all {_BYTES}")
+def container_roundtrip(spark, sf_dir):
+    """A container file with a JSON manifest and one with a MessagePack manifest, read by ranges."""
+    folder, archive, back = scratch_folder(spark, "container"), packed(spark, sf_dir), []
+    for kind in (False, True):
+        export(archive, f"{folder}/{kind}.lds", packed=kind)
+        back.append(_hashed(Container(spark, f"{folder}/{kind}.lds").read()))
+    return back[0].union(back[1])
+
+
+_PLACED = "select 'doc_' || doc_id as file_id, row_number() over (order by doc_id) - 1 as file_ord, sha256(coalesce(text, '')) as sha256 from documents"
+
+
+def _stored(spark, sf_dir, kind: str) -> str:
+    folder = scratch_folder(spark, kind)
+    sources.write_archives(documents(spark, sf_dir), folder, kind, parts=4)
+    return folder
+
+
+@query(_PLACED)
+def tar_source(spark, sf_dir):
+    return sources.tar(spark, _stored(spark, sf_dir, "tar")).select("file_id", "file_ord", F.sha2("bytes", 256).alias("sha256"))
+
+
+@query(_PLACED)
+def zip_source(spark, sf_dir):
+    return sources.zipped(spark, _stored(spark, sf_dir, "zip")).select("file_id", "file_ord", F.sha2("bytes", 256).alias("sha256"))
+
+
+@query(_BYTES)
+def upload_tar(spark, sf_dir):
+    files = sources.uploaded(spark, _stored(spark, sf_dir, "tar"), "documents")
+    return _hashed(pack(files, scratch_path(spark, "archive"), name="documents").read())
+
+
+@query("select 'vec_' || vec_id as name, 'F32' as dtype, len(embedding)::bigint as n, 4 * len(embedding)::bigint as length from embeddings")
+def tensor_list(spark, sf_dir):
+    folder = scratch_folder(spark, "tensors")
+    named = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vector"))
+    sources.write_tensors(named, folder, parts=3)
+    return sources.tensors(spark, folder).select("name", "dtype", F.col("shape")[0].alias("n"), "length")
+
+
+@query(_BYTES)
+def stream_ingest(spark, sf_dir):
+    """A folder that a stream packs in batches."""
+    folder, path = scratch_folder(spark, "folder"), scratch_path(spark, "archive")
+    n = packed(spark, sf_dir).unpack(folder)
+    ingest_folder(spark, folder, path, scratch_path(spark, "stream"), files_per_batch=-(-n // 3)).awaitTermination()
+    return _hashed(Archive(spark, path).read())
+
+
+@query(f"{_FOLD} select max(block_id) + 1 as blocks_decompressed, sum(size)::bigint as bytes_written from f")
+def metrics_snapshot(spark, sf_dir):
+    metrics = stats.Metrics(spark)
+    packed(spark, sf_dir).read(metrics=metrics).write.format("noop").mode("overwrite").save()
+    found = metrics.snapshot()
+    return spark.createDataFrame([(found["blocks_decompressed"], found["bytes_written"])], "blocks_decompressed long, bytes_written long")
+
+
+@query("select 'doc_' || (vec_id % 100) as file_id, vec_id % 100 as file_ord, 'space_' || label as space_id, len(embedding)::bigint as n from embeddings")
+def attach_vectors(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc_"), (F.col("vec_id") % 100).cast("string")).alias("file_id"), F.concat(F.lit("space_"), F.col("label").cast("string")).alias("space_id"), F.col("embedding").alias("vector"))
+    return vectors.attach(packed(spark, sf_dir).files, own).select("file_id", "file_ord", "space_id", F.size("vector").cast("long").alias("n"))
+
+
+@query("select m as mode, sum(strlen(text))::bigint as original_bytes, true as smaller from documents, (values ('per_file'), ('solid')) t(m) group by m")
+def codec_comparison(spark, sf_dir):
+    return compared(documents(spark, sf_dir)).select("mode", "original_bytes", (F.col("stored_bytes") < F.col("original_bytes")).alias("smaller"))
+
+
+@query(f"{_PERMUTED} select position, 'doc_' || sample_index as file_id from o where position < 100")
+def needle_sample(spark, sf_dir):
+    archive = packed(spark, sf_dir)
+    sample = DeterministicSampler(42, len(archive)).needles(spark, 100)
+    return sample.join(archive.placed(), F.col("sample_index") == F.col("place")).select("position", "file_id")
+
+
+@query("select event_type, sum(strlen(props))::bigint as bytes, round(sum(strlen(props)) / 1e6 / sum(value), 6) as mb_s from events where value is not null and props is not null group by event_type")
+def throughput_stats(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("size", F.octet_length("props"))
+    return stats.throughput(events, "event_type", "size", "value")

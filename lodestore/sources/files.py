@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import struct
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from lodestore.functions.columns import basename
 from lodestore.session import ship
 from lodestore.storage import scratch_path
 
+#: The largest upload (fixed value: 10 GiB).
+UPLOAD_BYTES = 10 << 30
 #: Whole archives and files are cells of a table: one may hold 2 GiB at most.
 BINARY_FIELDS = "path string, modificationTime timestamp, length long, content binary"
 
@@ -112,6 +116,67 @@ def open_any(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown archive format: {path}")
 
 
+def write_archives(files: DataFrame, folder: str, kind: str = "tar", parts: int = 1) -> None:
+    """Writes ``files(file_id, file_ord, bytes)`` as ``parts`` tar or zip archives (kind "tar" or "zip") below a folder
+    that all executors see; each archive holds a run of positions in order and is written by one task."""
+    if kind not in ("tar", "zip"):
+        raise ValueError(f"unknown archive format: {kind}")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        path = os.path.join(folder, f"part-{key[0]:05d}.{kind}")
+        rows = pdf.sort_values("file_ord")
+        with tarfile.open(path, "w") if kind == "tar" else zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for name, data in zip(rows["file_id"], rows["bytes"], strict=True):
+                if kind == "zip":
+                    out.writestr(name, bytes(data))
+                else:
+                    entry = tarfile.TarInfo(name)
+                    entry.size = len(data)
+                    out.addfile(entry, io.BytesIO(bytes(data)))
+        return pd.DataFrame({"path": [path]})
+
+    os.makedirs(folder, exist_ok=True)
+    last = files.agg(F.max("file_ord")).first()[0]
+    span = ((last or 0) + parts) // parts
+    placed = files.select("file_id", "file_ord", "bytes", F.floor(F.col("file_ord") / span).cast("int").alias("part"))
+    ship(files.sparkSession)
+    placed.groupBy("part").applyInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def uploaded(spark: SparkSession, path: str, name: str, most: int = UPLOAD_BYTES) -> DataFrame:
+    """(file_id, file_ord, bytes) of a tar archive that is taken in under ``name``, to be packed.
+
+    A name that is empty or could leave a folder, and entries of more than ``most`` bytes in all, are errors.
+    """
+    if not name or ".." in name or "/" in name or "\\" in name:
+        raise ValueError(f"unsafe archive name {name!r}")
+    files = tar(spark, path)
+    if (files.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0) > most:
+        raise ValueError(f"the upload is larger than {most} bytes")
+    return files
+
+
+def write_tensors(rows: DataFrame, folder: str, parts: int = 1) -> None:
+    """Writes ``rows(name, vector)`` as ``parts`` SafeTensors files of one-dimensional 32-bit floats below a shared folder."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        path, header, at = os.path.join(folder, f"part-{key[0]:05d}.safetensors"), {}, 0
+        rows = pdf.sort_values("name")
+        data = [np.asarray(v, "<f4").tobytes() for v in rows["vector"]]
+        for name, x in zip(rows["name"], data, strict=True):
+            header[name] = {"dtype": "F32", "shape": [len(x) // 4], "data_offsets": [at, at + len(x)]}
+            at += len(x)
+        head = json.dumps(header).encode()
+        with open(path, "wb") as f:
+            f.write(struct.pack("<Q", len(head)) + head + b"".join(data))
+        return pd.DataFrame({"path": [path]})
+
+    os.makedirs(folder, exist_ok=True)
+    ship(rows.sparkSession)
+    placed = rows.select("name", "vector", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("part"))
+    placed.groupBy("part").applyInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def _tensors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []

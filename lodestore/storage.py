@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -20,3 +21,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         shared = f"file://{own}"
     return f"{shared}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """As ``scratch_path``, made, as a path of the file system that the driver and all executors mount; else an error."""
+    path = scratch_path(spark, name).removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{path} is no mounted folder")
+    os.makedirs(path, exist_ok=True)
+    return path
