@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestore.functions.chunking import chunk_files
 from lodestore.functions.codecs import train_dictionary
 from lodestore.functions.columns import decrypted, encrypted, flat_name, safe_path, verified, with_key
-from lodestore.operators.blocks import BLOCK_BYTES, SOLID_BYTES, block_offsets, decode_blocks, pack_blocks, plan_blocks
+from lodestore.operators.blocks import BLOCK_BYTES, SOLID_BYTES, block_offsets, cuts_of, decode_blocks, pack_blocks, plan_blocks
 from lodestore.operators.dedup import first_seen, ratio, with_ordinal
 from lodestore.operators.stats import Metrics
 from lodestore.schemas import SUMMARY
@@ -123,11 +123,8 @@ class Archive:
         """
         files = self.files if condition is None else self.files.where(condition)
         recipe = self.file_chunks.join(files.select("file_ord"), "file_ord", "left_semi") if condition is not None else self.file_chunks
-        placed = recipe.join(self.chunks, "hash", "left")
-        placed = placed.withColumn("block_id", F.when(F.col("block_id").isNull(), F.raise_error(F.concat(F.lit("missing chunk "), "hash"))).otherwise(F.col("block_id")))
-        blocks = self.blocks
-        if condition is not None:
-            blocks = blocks.join(placed.select("block_id").distinct(), "block_id", "left_semi")
+        chunks = self.chunks if condition is None else self.chunks.join(recipe.select("hash").distinct(), "hash", "left_semi")
+        blocks = self.blocks.join(cuts_of(chunks), "block_id")
         payload = verified(F.col("payload"), F.col("crc32"))
         if self.key is not None:
             blocks = with_key(blocks, self.key, "__key")
@@ -135,8 +132,9 @@ class Archive:
         else:
             payload = F.when(F.col("encrypted"), F.raise_error(F.lit("the archive is encrypted and no key was given"))).otherwise(payload)
         dictionaries = {str(r["version"]): bytes(r["dictionary"]) for r in self.versions.where("dictionary is not null").select("version", "dictionary").collect()}
-        raw = decode_blocks(blocks.select("block_id", "dictionary_id", payload.alias("payload")), dictionaries, metrics)
-        pieces = placed.join(raw, "block_id").select("file_ord", "pos", F.expr("substring(raw, cast(inner_offset + 1 as int), cast(original_size as int))").alias("data"))
+        cut = decode_blocks(blocks.select("dictionary_id", payload.alias("payload"), "cuts"), dictionaries, metrics)
+        data = F.when(F.col("data").isNull(), F.raise_error(F.concat(F.lit("missing chunk "), "hash"))).otherwise(F.col("data"))
+        pieces = recipe.join(cut, "hash", "left").select("file_ord", "pos", data.alias("data"))
         whole = pieces.groupBy("file_ord").agg(F.expr("listagg(data) within group (order by pos)").alias("bytes"))
         out = files.join(whole, "file_ord", "left").withColumn("bytes", F.coalesce("bytes", F.expr("cast('' as binary)")))
         right = F.octet_length("bytes") == F.col("original_size")

@@ -69,19 +69,26 @@ def block_offsets(blocks: DataFrame, start: int = 0) -> DataFrame:
     return running_sum(blocks, "block_id", "stored_size", "offset").withColumn("offset", F.col("offset") + F.lit(start))
 
 
+def cuts_of(chunks: DataFrame, key: str = "block_id") -> DataFrame:
+    """(key, cuts) for ``chunks(key, hash, inner_offset, original_size)``: where the chunks of each block stand in it."""
+    return chunks.groupBy(key).agg(F.collect_list(F.struct("hash", "inner_offset", "original_size")).alias("cuts"))
+
+
 def decode_blocks(blocks: DataFrame, dictionaries: dict[str, bytes], metrics: Metrics | None = None) -> DataFrame:
-    """(block_id, raw) for ``blocks(block_id, dictionary_id, payload)``: each block is decoded once."""
+    """(hash, data) for ``blocks(dictionary_id, payload, cuts)``: each block is decoded once and cut where it is decoded, so
+    that no row carries a whole block to each of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [decompress(p, dictionaries.get(d)) for d, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            if metrics is not None:
-                metrics.add("blocks_decompressed", len(raw))
-                metrics.add("bytes_read", sum(len(p) for p in b.column(2).to_pylist()))
-                metrics.add("bytes_written", sum(map(len, raw)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["block_id", "raw"])
-
-    return blocks.select("block_id", "dictionary_id", "payload").mapInArrow(run, "block_id long, raw binary")
+            for d, p, cuts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = decompress(p, dictionaries.get(d))
+                if metrics is not None:
+                    for name, n in (("blocks_decompressed", 1), ("bytes_read", len(p)), ("bytes_written", len(raw))):
+                        metrics.add(name, n)
+                data = [raw[c["inner_offset"] : c["inner_offset"] + c["original_size"]] for c in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([c["hash"] for c in cuts], pa.string()), pa.array(data, pa.binary())], names=["hash", "data"])
+
+    return blocks.select("dictionary_id", "payload", "cuts").mapInArrow(run, "hash string, data binary")
 
 
 def compared(files: DataFrame, codec: str = "zstd", level: int = 3, block: int = BLOCK_BYTES) -> DataFrame:

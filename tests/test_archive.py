@@ -287,3 +287,48 @@ def test_equal_names_of_folders(spark, tmp_path):
     assert [(r["file_id"], r["file_ord"], bytes(r["bytes"])) for r in found] == [("same.txt", 0, b"first"), ("same.txt", 1, b"second one")]
     assert ingest_batch(spark, directory(spark, str(tmp_path / "in"), recursive=True).drop("file_ord"), str(tmp_path / "a"), 0) == 2
     assert sorted(bytes(r["bytes"]) for r in Archive(spark, str(tmp_path / "a")).read().collect()) == [b"first", b"second one"]
+
+
+def test_attached_vectors_uploads_and_codecs(spark, tmp_path):
+    from lodestore.operators.blocks import compared
+    from lodestore.operators.stats import throughput
+    from lodestore.operators.vectors import attach
+
+    data = {"a": b"x" * 5000, "b": b"", "c": bytes(range(256)) * 20}
+    files = table(spark, data)
+    kind = "file_id string, space_id string, vector array<float>"
+    rows = spark.createDataFrame([("a", "s", [1.0]), ("a", "s", [1.0]), ("c", "t", [2.0])], kind)
+    assert sorted((r["file_id"], r["file_ord"]) for r in attach(files, rows).collect()) == [("a", 0), ("a", 0), ("c", 2)]
+    for lost in ("z", None):
+        with pytest.raises(Exception, match="no file"):
+            attach(files, spark.createDataFrame([(lost, "s", [1.0])], kind)).collect()
+    assert attach(files, rows.limit(0)).count() == 0
+
+    folder = str(tmp_path / "tars")
+    sources.write_archives(files, folder, "tar", parts=2)
+    assert {r["file_id"]: bytes(r["bytes"]) for r in sources.uploaded(spark, folder, "mine").collect()} == data
+    for name in ("", "../x", "a/b", "a\\b"):
+        with pytest.raises(ValueError, match="unsafe"):
+            sources.uploaded(spark, folder, name)
+    with pytest.raises(ValueError, match="larger"):
+        sources.uploaded(spark, folder, "mine", most=100)
+
+    found = {r["mode"]: r for r in compared(files).collect()}
+    total = sum(map(len, data.values()))
+    assert found["per_file"]["units"] == 3 and found["solid"]["units"] == 1 and all(r["original_bytes"] == total for r in found.values())
+    assert found["solid"]["stored_bytes"] < found["per_file"]["stored_bytes"] < total
+
+    spent = spark.createDataFrame([("g", 3_000_000, 1.0), ("g", 1_000_000, 1.0), ("h", 5, 0.0), ("h", None, 1.0)], "g string, n long, s double")
+    assert {r["g"]: (r["bytes"], r["mb_s"]) for r in throughput(spent, "g", "n", "s").collect()} == {"g": (4_000_000, 2.0), "h": (5, None)}
+
+
+def test_missing_chunk_and_metrics(spark, tmp_path):
+    archive = pack(table(spark, {"a": b"one", "b": b"two", "c": b"one"}), str(tmp_path / "a"))
+    metrics = Metrics(spark)
+    assert archive.read(metrics=metrics).count() == 3
+    archive.read(metrics=metrics).collect()
+    assert metrics.snapshot()["bytes_written"] % 6 == 0 and metrics.snapshot()["blocks_decompressed"] >= 1
+    kept = spark.createDataFrame([], archive.chunks.schema)
+    kept.write.mode("overwrite").parquet(str(tmp_path / "a" / "chunks" / "part=0"))
+    with pytest.raises(Exception, match="missing chunk"):
+        Archive(spark, str(tmp_path / "a")).read().collect()
