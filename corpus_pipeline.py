@@ -37,8 +37,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the number of copies that the mix takes of it."""
-    return mixed_documents(docs)
+    """The documents that the mix takes, one row each; ``copies`` (1 or 2) says how often, and is to be applied as a weight.
+
+    Documents that it takes no copy of go. Nulls, empty texts and repeated rows: see ``mixed_documents``.
+    """
+    return mixed_documents(docs).where("copies > 0")
 
 
 STAGES = [
