@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -29,14 +29,16 @@ CONTEXT = 12
 GAP = 2 * SHINGLE
 #: Shingles on each side of a window that are compared with it.
 MARGIN = LEAST
-#: A shingle that stands more often in a text is no anchor for near repeats there; it counts in the sets and in exact repeats.
+#: Of a shingle that stands more often in a text, equal surroundings are compared once for all (none are left out).
 OFTEN = 16
-#: Documents of one side of a group that is compared in one task.
-BLOCK = 256
+#: Places that two texts share and that are held at once, if no passage's length has more.
+PLACES = 1 << 22
+#: Documents that one task compares with their hub.
+PART = 256
+#: Documents of one side of a group's open windows that are compared in one task.
+BLOCK = 8192
 #: Rows of small groups that one task's turn compares, group by group.
-BUNDLE = 2000
-#: Further hubs that the open windows of a larger group are compared with before they are compared with each other.
-HUBS = 2
+BUNDLE = 250
 
 _U = np.uint64
 _SALT = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _U(0x632BE59BD9B4E019))
@@ -117,10 +119,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _grams(items: np.ndarray) -> np.ndarray:
-    """Hashes of all stretches of LEAST items; equal ones hash alike wherever they stand."""
+def _grams(items: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Hashes of all stretches of so many items; equal ones hash alike wherever they stand."""
     n = len(items)
-    if n < LEAST:
+    if n < least:
         return np.zeros(0, np.uint64)
     size = 1 << n.bit_length()
     if size not in _powers:
@@ -130,7 +132,7 @@ def _grams(items: np.ndarray) -> np.ndarray:
     up, down = _powers[size]
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(items * up[:n], out=prefix[1:])
-    return mix((prefix[LEAST:] - prefix[:-LEAST]) * down[: n - LEAST + 1])
+    return mix((prefix[least:] - prefix[:-least]) * down[: n - least + 1])
 
 
 def _stretches(at: np.ndarray, gap: int) -> np.ndarray:
@@ -146,16 +148,12 @@ def _full(inside: np.ndarray, stretches: np.ndarray) -> bool:
     return bool(((total[stop] - total[start] == stop - start) | (stop - start < LEAST)).all())
 
 
-def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, items) of x in the order of the items, without those that stand there more than OFTEN times."""
-    order = np.argsort(x, kind="stable")
-    ranked = x[order]
-    if len(x) <= OFTEN or not (ranked[OFTEN:] == ranked[:-OFTEN]).any():
-        return order, ranked
-    heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    size = np.diff(np.append(heads, len(x)))
-    keep = np.repeat(size <= OFTEN, size)
-    return order[keep], ranked[keep]
+def _around(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n places lie in a stretch of so many places from one of the starts on."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + length, -1)
+    return np.cumsum(change)[:-1] > 0
 
 
 class Text:
@@ -163,7 +161,37 @@ class Text:
 
     def __init__(self, items: np.ndarray):
         self.items, self.grams = items, _grams(items)
-        self.places, self.ranked = _ranked(items)
+        self.places = np.argsort(items, kind="stable")
+        self.ranked = items[self.places]
+
+    @cached_property
+    def often(self) -> np.ndarray:
+        """Which places have a shingle that stands more than OFTEN times."""
+        if len(self.items) <= OFTEN or not (self.ranked[OFTEN:] == self.ranked[:-OFTEN]).any():
+            return np.zeros(len(self.items), bool)
+        return np.searchsorted(self.ranked, self.items, "right") - np.searchsorted(self.ranked, self.items, "left") > OFTEN
+
+    @cached_property
+    def fresh(self) -> np.ndarray:
+        """Which places are compared for all that have equal surroundings: any stretch that a passage of LEAST can meet
+        stands wholly in them, if not there, then where it stood first. Shingles that aren't often are at all their places."""
+        grams = _grams(self.items, LEAST + GAP)
+        if not len(grams):
+            return np.ones(len(self.items), bool)
+        return ~self.often | _around(np.unique(grams, return_index=True)[1], LEAST + GAP, len(self.items))
+
+    @cached_property
+    def plain(self) -> bool:
+        """Whether no shingle stands twice."""
+        return not (self.ranked[1:] == self.ranked[:-1]).any()
+
+    def met(self, other: Text) -> np.ndarray:
+        """Which places have a shingle that stands in the other text too."""
+        out = np.zeros(len(self.items), bool)
+        if len(other.ranked):
+            # sorted ones are found faster
+            out[self.places] = other.ranked[np.minimum(np.searchsorted(other.ranked, self.ranked), len(other.ranked) - 1)] == self.ranked
+        return out
 
     @cached_property
     def by_gram(self) -> tuple[np.ndarray, np.ndarray]:
@@ -171,16 +199,54 @@ class Text:
         return order, self.grams[order]
 
 
-def _places(a: Text, b: Text) -> tuple[np.ndarray, np.ndarray]:
-    """The places (i, j) with a[i] == b[j], by offset j - i and then by i; items that stand often in either have none."""
-    lo = np.searchsorted(b.ranked, a.ranked, "left")
-    shared = np.flatnonzero(b.ranked[np.minimum(lo, len(b.ranked) - 1)] == a.ranked) if len(b.ranked) else lo[:0]
-    lo = lo[shared]
-    n = np.searchsorted(b.ranked, a.ranked[shared], "right") - lo
-    i = np.repeat(a.places[shared], n)
-    j = b.places[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)]
-    line = np.lexsort((i, j - i))
-    return i[line], j[line]
+def _live(a: Text, met: np.ndarray) -> np.ndarray:
+    """The places of a that ``met`` names, of often shingles only those in stretches that can be near to one of what they met."""
+    if not a.often.any():
+        return met
+    total = np.append(0, np.cumsum(met))
+    starts = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= SIMILARITY * LEAST) if len(met) >= LEAST else np.zeros(0, np.int64)
+    return met & (~a.often | _around(starts, LEAST, len(met)))
+
+
+def _pairs(a: Text, b: Text, of_a: np.ndarray, of_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (i, j) with a[i] == b[j] among those of a and of b, by offset j - i and then by i.
+
+    Where they are more than PLACES, they come in parts of a that have twice a passage's least length in common.
+    """
+    at, own = b.places[of_b[b.places]], a.places[of_a[a.places]]
+    ranked, items = b.items[at], a.items[own]
+    lo = np.searchsorted(ranked, items, "left")
+    n = np.searchsorted(ranked, items, "right") - lo
+    if n.sum() <= PLACES:
+        i = np.repeat(own, n)
+        j = at[np.arange(len(i)) + np.repeat(lo - (np.cumsum(n) - n), n)]
+        line = np.lexsort((i, j - i))
+        yield i[line], j[line]
+        return
+    places = np.sort(own)
+    lo = np.searchsorted(ranked, a.items[places], "left")
+    n = np.searchsorted(ranked, a.items[places], "right") - lo
+    total, x = np.append(0, np.cumsum(n)), 0
+    while x < len(places):
+        z = max(int(np.searchsorted(total, total[x] + PLACES, "right")) - 1, int(np.searchsorted(places, places[x] + 4 * LEAST)))
+        part = slice(x, min(z, len(places)))
+        i = np.repeat(places[part], n[part])
+        j = at[np.arange(len(i)) + np.repeat(lo[part] - (np.cumsum(n[part]) - n[part]), n[part])]
+        line = np.lexsort((i, j - i))
+        yield i[line], j[line]
+        if z >= len(places):
+            return
+        x = max(x + 1, int(np.searchsorted(places, places[z] - 2 * LEAST)))
+
+
+def _places(a: Text, b: Text, met_a: np.ndarray, met_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (i, j) of which each text's have to be compared: all of one text with what stands fresh in the other."""
+    if not (a.often.any() or b.often.any()):
+        yield from _pairs(a, b, met_a, met_b)
+        return
+    met_a, met_b = _live(a, met_a), _live(b, met_b)
+    yield from _pairs(a, b, met_a, met_b & b.fresh)
+    yield from _pairs(a, b, met_a & a.fresh, met_b)
 
 
 def _exact(a: Text, b: Text) -> list[tuple[int, int, int, int]]:
@@ -232,7 +298,7 @@ def shared_passages(a: np.ndarray | Text, b: np.ndarray | Text) -> list[tuple[in
     Every stretch of LEAST shingles that stands in both is taken as it is, so an exact repeat is always found, whatever
     else the texts repeat. Around each unbroken run of CONTEXT or more, the shared shingles of its offset give or take GAP
     are joined over gaps of GAP and checked as sets; where the whole isn't similar enough, its stretches of LEAST are.
-    Memory is bounded by OFTEN places of b for a place of a.
+    What a text repeats over and over is compared where it stands fresh, and in parts, so memory is bounded without a cap.
     """
     a, b = (x if isinstance(x, Text) else Text(x) for x in (a, b))
     in_a, in_b = np.zeros(len(a.items), bool), np.zeros(len(b.items), bool)
@@ -249,20 +315,30 @@ def shared_passages(a: np.ndarray | Text, b: np.ndarray | Text) -> list[tuple[in
     if out:
         for s2, z2, s, z in _exact(b, a):
             add(s, z, s2, z2)
-    i, j = _places(a, b)
-    if not len(i):
+    met_a = a.met(b)
+    if not met_a.any():
         return out
+    met_b = b.met(a)
     # the widest stretches that a seed can be joined with, whatever its offset
-    wide_a, wide_b = _stretches(np.unique(i), GAP), _stretches(np.unique(j), 3 * GAP)
+    wide_a, wide_b = _stretches(np.flatnonzero(met_a), GAP), _stretches(np.flatnonzero(met_b), 3 * GAP)
     if all(_full(inside, wide) for inside, wide in ((in_a, wide_a), (in_b, wide_b))):
         return out
+    for i, j in _places(a, b, met_a, met_b):
+        _seeded(a, b, i, j, wide_a, wide_b, in_a, in_b, add)
+    return out
+
+
+def _seeded(a: Text, b: Text, i: np.ndarray, j: np.ndarray, wide_a: np.ndarray, wide_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, add: Callable[[int, int, int, int], None]) -> None:
+    """Adds the near-duplicate stretches around the unbroken runs of CONTEXT or more among the places (i, j)."""
+    if not len(i):
+        return
     offset = j - i
     cut = np.flatnonzero((np.diff(offset) != 0) | (np.diff(i) != 1))
     first, last = np.append(0, cut + 1), np.append(cut, len(i) - 1)
     size = last - first + 1
     seeds = np.flatnonzero(size >= CONTEXT)
     seeds = seeds[np.argsort(-size[seeds], kind="stable")]
-    done: list[tuple[int, int, int]] = []
+    done: dict[int, list[tuple[int, int]]] = {}
     tried: set[tuple[int, int, int, int]] = set()
     # a seed alone in its band has nothing to be joined with
     low, high = np.searchsorted(offset, offset[first[seeds]] - GAP, "left"), np.searchsorted(offset, offset[first[seeds]] + GAP, "right")
@@ -274,7 +350,7 @@ def shared_passages(a: np.ndarray | Text, b: np.ndarray | Text) -> list[tuple[in
         if in_a[s1:z1].all() and in_b[s2:z2].all():
             continue
         # a run on the same offset was joined with a longer one
-        if any(d == at and s >= start and z <= stop for at, start, stop in done):
+        if any(s >= start and z <= stop for start, stop in done.get(d, ())):
             continue
         p, q = i[lo:hi], j[lo:hi]
         line = np.lexsort((np.abs(q - p - d), p))
@@ -285,13 +361,12 @@ def shared_passages(a: np.ndarray | Text, b: np.ndarray | Text) -> list[tuple[in
         gaps = np.flatnonzero(np.diff(p) > GAP + 1)
         at = np.searchsorted(p[gaps], s, "left")
         x, y = gaps[at - 1] + 1 if at else 0, gaps[at] + 1 if at < len(gaps) else len(p)
-        done.append((d, int(p[x]), int(p[y - 1]) + 1))
-        whole = (*done[-1][1:], int(q[x:y].min()), int(q[x:y].max()) + 1)
+        done.setdefault(d, []).append((int(p[x]), int(p[y - 1]) + 1))
+        whole = (*done[d][-1], int(q[x:y].min()), int(q[x:y].max()) + 1)
         if whole[1] - whole[0] >= LEAST and whole not in tried and not (in_a[whole[0] : whole[1]].all() and in_b[whole[2] : whole[3]].all()):
             tried.add(whole)
             for found in _similar(a.items, b.items, p[x:y], q[x:y]):
                 add(*found)
-    return out
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -422,8 +497,8 @@ def _compared(rows: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-#: Shared shingles that two stretches of LEAST different ones must have: those of similarity SIMILARITY.
-_SHARED = 2 * LEAST * SIMILARITY / (1 + SIMILARITY) - 1e-9
+#: Shared shingles that a stretch of LEAST different ones must have: a break within one takes SHINGLE - 1 of the other, too.
+_SHARED = SIMILARITY * (LEAST + SHINGLE - 1) - 1e-9
 
 
 def _local(rows: pa.Table) -> pa.Table:
@@ -438,55 +513,107 @@ def _local(rows: pa.Table) -> pa.Table:
     return _rows(out)
 
 
+def _distinct(x: np.ndarray) -> int:
+    """The least number of different items in a stretch of LEAST of x."""
+    order = np.argsort(x, kind="stable")
+    before = np.full(len(x), -1)
+    before[order[1:]] = np.where(x[order[1:]] == x[order[:-1]], order[:-1], -1)
+    return int((np.lib.stride_tricks.sliding_window_view(before, LEAST) < np.arange(len(x) - LEAST + 1)[:, None]).sum(axis=1).min())
+
+
+def _near_starts(w: np.ndarray, where: np.ndarray, b: Text) -> np.ndarray:
+    """Which stretches of LEAST of the different items w, at the places ``where``, may be near to one of b: by the shingles
+    shared, and where none of b's stands twice, by the stretch of b that they span around an unbroken run of CONTEXT."""
+    at = np.minimum(np.searchsorted(b.ranked, w), len(b.ranked) - 1)
+    held = b.ranked[at] == w
+    total = np.append(0, np.cumsum(held))
+    many = total[LEAST:] - total[:-LEAST] >= _SHARED
+    if not b.plain or not many.any():
+        return many
+    j = b.places[at]
+    offset = np.where(held, j - where, 1 << 60)
+    cut = np.append(0, np.flatnonzero((np.diff(offset) != 0) | (np.diff(where) != 1)) + 1)
+    seeds = cut[(np.diff(np.append(cut, len(w))) >= CONTEXT) & held[cut]]
+    near = np.zeros(len(many), bool)
+    for d in np.unique(offset[seeds]).tolist():
+        hit = held & (np.abs(offset - d) <= GAP)
+        i, total = np.flatnonzero(hit), np.append(0, np.cumsum(hit))
+        starts = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= _SHARED)
+        first, last = i[total[starts]], i[total[starts + LEAST] - 1]
+        shared, span = total[starts + LEAST] - total[starts], j[last] - j[first] + LEAST - (last - first)
+        near[starts[shared >= SIMILARITY * (LEAST + span - shared) - 1e-9]] = True
+    return near
+
+
 def _near(items: list[np.ndarray], places: list[np.ndarray], runs: list[np.ndarray], asks: np.ndarray, docs: np.ndarray, classes: np.ndarray, side: np.ndarray) -> list[tuple[int, ...]]:
-    """Passages between asking windows and the others, by counts of shared shingles and then as passages.
+    """Passages between asking windows (runs whose second number is over 0) and the others, by counts of shared shingles and
+    then as passages.
 
-    Each asking document gets one partner for each class that has a near-duplicate there, classes that such a pair links
-    being one from then on; one whose windows are in passages already asks for other classes alone.
+    A stretch that has fewer than _SHARED shingles that any other document of the group has is near to none, whatever the
+    group's size; the rest meets what its shingles' postings name. A document asks on until each stretch of its open windows
+    is in a passage or was held against all that may have one; classes that a pair links are one from then on, and what is
+    in passages asks for other classes alone.
     """
-    windows, sets = [], []
+    asking, begins, sets = [], [], []
     for x, at, own in zip(items, places, runs, strict=True):
-        inside = np.zeros(len(x), bool)
-        for _, _, s, e in own.tolist():
-            inside |= (at >= s) & (at < e + LEAST)
-        windows.append(x[inside])
+        inside, open_, begin = (np.zeros(len(x), bool) for _ in range(3))
+        for _, n, s, e in own.tolist():
+            here = (at >= s) & (at < e + LEAST)
+            inside |= here
+            if n > 0:
+                open_ |= here
+            if n > 1:
+                begin |= (at >= s) & (at <= e)
+        asking.append(np.flatnonzero(open_))
+        begins.append(begin)
         sets.append(np.unique(x[inside]))
-    # a matrix of the shingles that several documents have; its products count what two share
-    every, slot, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)
     size = np.array([len(x) for x in sets])
-    has = np.zeros((len(sets), int((often > 1).sum())), np.float32)
-    kept = column[slot] >= 0
-    has[np.repeat(np.arange(len(sets)), size)[kept], column[slot][kept]] = 1
-    rows_, cols = np.flatnonzero((asks > 0) & (side != 2)), np.flatnonzero(side != 1)
-    shared = has[rows_] @ has[cols].T
-    least = np.minimum.outer(size[rows_], size[cols])
-    near = (shared >= np.where(least >= LEAST, _SHARED, SIMILARITY * least)) & (docs[rows_][:, None] != docs[cols])
-    for row, k in enumerate(rows_.tolist()):
-        able = np.flatnonzero(near[row])
-        if size[k] == len(windows[k]) >= LEAST and len(able):
-            # without repeats, a stretch of the window itself must hold as many
-            at = column[np.searchsorted(every, windows[k])]
-            total = np.zeros((len(able), len(at) + 1), np.float32)
-            np.cumsum(has[cols[able]][:, at] * (at >= 0), axis=1, out=total[:, 1:])
-            near[row, able] = (total[:, LEAST:] - total[:, :-LEAST]).max(axis=1) >= _SHARED
-    r, c = np.nonzero(near)
-    order = np.lexsort((docs[cols][c], -shared[r, c], r))
+    cols = np.flatnonzero(side != 1)
+    every, slot = np.unique(np.concatenate([sets[c] for c in cols] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    # the documents of each shingle
+    posted = np.repeat(np.arange(len(cols)), size[cols])[np.argsort(slot, kind="stable")]
+    often = np.bincount(slot, minlength=len(every))
+    heads = np.append(0, np.cumsum(often))
+    searched = set(docs[cols].tolist())
     made: dict[int, Text] = {}
     root = np.unique(classes, return_inverse=True)[1]
-    covered = asks == 1
     out: list[tuple[int, ...]] = []
-    for k, c in zip(rows_[r[order]].tolist(), cols[c[order]].tolist(), strict=True):
-        if covered[k] and root[c] == root[k]:
+    for k in np.flatnonzero((asks > 0) & (side != 2)).tolist():
+        where = asking[k]
+        if len(where) < LEAST or not len(every):
             continue
-        for t in (k, c):
-            if t not in made:
-                made[t] = Text(items[t])
-        for s, z, s2, z2 in shared_passages(made[k], made[c]):
-            covered[k] = True
-            root[root == root[c]] = root[k]
-            out.append((_PASSAGE, int(docs[k]), int(docs[c]), int(places[k][s]), int(places[k][z - 1]) + 1, 0, 0))
-            out.append((_PASSAGE, int(docs[c]), int(docs[k]), int(places[c][s2]), int(places[c][z2 - 1]) + 1, 0, 0))
+        w = items[k][where]
+        at = np.minimum(np.searchsorted(every, w), len(every) - 1)
+        count = np.where(every[at] == w, often[at], 0) - (int(docs[k]) in searched)
+        whole = where[LEAST - 1 :] - where[: 1 - LEAST] == LEAST - 1
+        plain = len(np.unique(w)) == len(w)
+        if plain:
+            total = np.append(0, np.cumsum(count > 0))
+            able = np.flatnonzero(whole & (total[LEAST:] - total[:-LEAST] >= _SHARED))
+            if not len(able):
+                continue
+            wanted, need = at[_around(able, LEAST, len(w)) & (count > 0)], _SHARED
+        else:
+            wanted, need = np.unique(at[count > 0]), SIMILARITY * _distinct(w) - 1e-9
+        shared = np.zeros(len(cols), np.int64)
+        if len(wanted):
+            shared += np.bincount(np.concatenate([posted[heads[i] : heads[i + 1]] for i in wanted.tolist()]), minlength=len(cols))
+        near = np.flatnonzero((shared >= need) & (docs[cols] != docs[k]))
+        todo = whole & begins[k][where[: 1 - LEAST]]
+        for c in cols[near[np.lexsort((docs[cols[near]], -shared[near]))]].tolist():
+            same = root[c] == root[k]
+            if same and not todo.any():
+                continue
+            for t in (k, c):
+                if t not in made:
+                    made[t] = Text(items[t])
+            if plain and not ((todo if same else whole) & _near_starts(w, where, made[c])).any():
+                continue
+            for s, z, s2, z2 in shared_passages(made[k], made[c]):
+                todo = todo & ~((where[: 1 - LEAST] >= s) & (where[LEAST - 1 :] < z))
+                root[root == root[c]] = root[k]
+                out.append((_PASSAGE, int(docs[k]), int(docs[c]), int(places[k][s]), int(places[k][z - 1]) + 1, 0, 0))
+                out.append((_PASSAGE, int(docs[c]), int(docs[k]), int(places[c][s2]), int(places[c][z2 - 1]) + 1, 0, 0))
     return out
 
 
@@ -501,7 +628,7 @@ def _cut(texts: DataFrame, wanted: DataFrame, margin: int) -> DataFrame:
 
 def _stars(texts: DataFrame, met: DataFrame) -> DataFrame:
     """Compares the documents of ``met(key, doc, n, hub, s, e)`` with their hubs; rows of _FOUND, stored."""
-    shape = met.select("hub", "doc").distinct().groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    shape = met.select("hub", "doc").distinct().groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     large = stash(shape.where("parts > 1"), "shape", compact=True)
     cut = _cut(texts, met.select("doc", "hub", F.lit(0).cast("long").alias("tag"), F.lit(0).alias("asks"), "key", "n", "s", "e"), MARGIN)
     cut = cut.join(F.broadcast(large) if few(large) else large, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -531,55 +658,11 @@ def _classes(passages: DataFrame) -> DataFrame:
     return components(passages.select(F.col("doc").alias("u"), F.col("other").alias("v")))
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, doc, items) of slices: the different shingles."""
-    for b in batches:
-        items, places, _ = _parts(pa.Table.from_batches([b])) if b.num_rows else ([], [], [])
-        sets = [np.unique(x[at >= 0]).view(np.int64) for x, at in zip(items, places, strict=True)]
-        ends = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["hub", "doc", "items"])
-
-
-def _sharing(texts: DataFrame, group: DataFrame) -> DataFrame:
-    """(sub, key, doc): the documents of large groups ``group(key, doc, class, asks)``, by the shingles that they must share.
-
-    Of the shingles of two windows that are near enough, ordered from the rarest of the group, the first ones share one
-    (a prefix filter); so documents that have no more than a frequent line in common don't meet.
-    """
-    wanted = group.select("doc", F.col("key").alias("hub"), F.lit(0).cast("long").alias("tag"), "asks", "key", F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))
-    own = _cut(texts, wanted, 0).mapInArrow(_shingled, "hub long, doc long, items array<long>")
-    own = stash(own.groupBy("hub", "doc").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "shingles", compact=True)
-    each = own.select("hub", "doc", F.size("items").alias("size"), F.explode("items").alias("item"))
-    often = each.groupBy("hub", "item").agg(F.count("*").alias("n"))
-    need = F.ceil(F.least(F.lit(_SHARED), F.col("size") * SIMILARITY))
-    ranked = each.join(often, ["hub", "item"]).groupBy("hub", "doc", "size").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))
-    prefix = ranked.select("hub", "doc", F.explode(F.slice("ranked", F.lit(1), (F.col("size") - need + 1).cast("int"))).alias("x")).where("x.n > 1")
-    return prefix.select(F.xxhash64("hub", "x.item").alias("sub"), F.col("hub").alias("key"), "doc")
-
-
-def _more_hubs(texts: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` after the open windows of groups of more than BLOCK documents met HUBS other documents of the group, one
-    after the other, as long as they stay open: copies of one passage are mostly near enough to one that has few changes."""
-    for turn in range(HUBS):
-        is_open = (F.col("kind") == _OPEN) & F.col("large")
-        sized = met.select("key", (F.col("n") > BLOCK).alias("large")).where("large").distinct()
-        marked = stash(found.join(sized, "key", "left").withColumn("large", F.coalesce("large", F.lit(False))), "marked", compact=True)
-        if not marked.where(is_open).limit(1).count():
-            return marked.drop("large")
-        asking = stash(marked.where(is_open).select("key", "doc").distinct(), "asking", compact=True)
-        hubs = among(met, stash(asking.select("key").distinct(), "keys", compact=True), "key").groupBy("key").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("hub"))
-        pairs = asking.join(hubs, "key").where("doc <> hub")
-        pairs = pairs.union(pairs.select("key", F.col("hub").alias("doc"), "hub").distinct()).select("key", "doc", F.lit(3).cast("long").alias("n"), "hub", F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))
-        found = marked.where(~is_open).drop("large").select(*_COLUMNS).union(_stars(texts, pairs).select(*_COLUMNS))
-    return found
-
-
 def _rest(texts: DataFrame, met: DataFrame, found: DataFrame, passages: DataFrame) -> DataFrame | None:
     """Passages between windows that a group's hub left open and all others of the group; None if there are none to ask.
 
-    An open window asks if its stretches are in no passage by now or if the group holds several classes. A group of more
-    than BLOCK documents is first parted by the shingles that its members must share; what is still larger is compared in
+    An open window asks if its stretches are in no passage by now or if the group holds several classes. All groups of a hub
+    are one, so that a document's windows move and are hashed once for it; one of more than BLOCK documents is compared in
     pairs of blocks, without a cap.
     """
     opens = found.where(F.col("kind") == _OPEN).select("key", "doc", "start", "stop").distinct()
@@ -588,26 +671,22 @@ def _rest(texts: DataFrame, met: DataFrame, found: DataFrame, passages: DataFram
     spans, classes = stash(_spans(passages), "spans", compact=True), stash(_classes(passages), "classes", compact=True)
     inside = F.exists("spans", lambda x: (x["start"] <= F.col("start")) & (F.col("stop") + LEAST <= x["stop"]))
     asks = opens.join(spans, "doc", "left").groupBy("key", "doc").agg(F.bool_and(F.coalesce(inside, F.lit(False))).alias("inside"))
-    group = among(met.where("doc <> hub").select("key", "doc"), stash(opens.select("key").distinct(), "keys", compact=True), "key").distinct()
-    group = group.join(classes, F.col("doc") == classes["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("class")).join(asks, ["key", "doc"], "left")
+    group = among(met.where("doc <> hub").select("key", "hub", "doc"), stash(opens.select("key").distinct(), "keys", compact=True), "key").distinct()
+    group = group.join(classes, F.col("doc") == classes["node"], "left").select("key", "hub", "doc", F.coalesce("component", "doc").alias("class")).join(asks, ["key", "doc"], "left")
     group = stash(group, "group", compact=True)
     shape = group.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("docs"), F.count_if(~F.col("inside")).alias("out")).where("docs > 1 and (out > 0 or lo < hi)")
     # 2: an open window that no passage reaches, 1: one that may have links to other classes, 0: none that asks
     asking = F.when(~F.col("inside"), 2).when(F.col("inside") & (F.col("lo") < F.col("hi")), 1).otherwise(0)
-    group = stash(group.join(shape, "key").select("key", "doc", "class", asking.alias("asks"), "docs"), "asking", compact=True)
+    group = stash(group.join(shape, "key").select("key", "hub", "doc", "class", asking.alias("asks")), "asking", compact=True)
     if not group.limit(1).count():
         return None
-    subs = group.where(F.col("docs") <= BLOCK).select(F.col("key").alias("sub"), "key", "doc", "class", "asks")
-    large = group.where(F.col("docs") > BLOCK).drop("docs")
-    if large.limit(1).count():
-        subs = subs.union(_sharing(texts, large).join(large, ["key", "doc"]).select("sub", "key", "doc", "class", "asks"))
-    subs = stash(subs, "subs", compact=True)
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = subs.groupBy("sub").agg(blocks(F.count_if(F.col("asks") > 0)).alias("parts"), blocks(F.count("*")).alias("others"), F.count("*").alias("docs")).where("parts > 0 and docs > 1")
+    sizes = group.groupBy("hub", "doc").agg(F.max("asks").alias("asks")).groupBy("hub").agg(blocks(F.count_if(F.col("asks") > 0)).alias("parts"), blocks(F.count("*")).alias("others"), F.count("*").alias("docs")).where("parts > 0 and docs > 1")
     sizes = stash(sizes, "sizes", compact=True)
-    split = stash(sizes.where("others > 1"), "split", compact=True)
-    wanted = among(subs, sizes.select("sub"), "sub").select("doc", F.col("sub").alias("hub"), F.col("class").alias("tag"), "asks", "key", F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))
-    cut = _cut(texts, wanted, 0).join(F.broadcast(split) if few(split) else split, F.col("hub") == split["sub"], "left")
+    split = stash(sizes.where("others > 1").select("hub", "parts", "others"), "split", compact=True)
+    # the second number of a run tells whether its window asks
+    wanted = among(group, sizes.select("hub"), "hub").select("doc", "hub", F.col("class").alias("tag"), "asks", "key", F.col("asks").cast("long").alias("n"), F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))
+    cut = _cut(texts, wanted, 0).join(F.broadcast(split) if few(split) else split, "hub", "left")
     own, each = lambda n: F.pmod(F.xxhash64("doc", F.lit(7)), F.col(n)).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # many whole groups are one for the task that compares them
     total = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
@@ -636,13 +715,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
        BAND trees at a time are joined as intervals into runs of stretches that share all their minima (a signature).
     2. Documents with an equal signature are a group. Each is compared with the group's smallest document, the hub; only
        the words around the shared windows move. An exact repeat of WORDS words always meets, near ones mostly.
-    3. A window that no passage reaches, or that stands among several classes, is compared with its whole group; a large
-       group is parted by a prefix filter, then into blocks. A window that a passage leaves at one side meets those that have the same next stretch (an exact
-       repeat that is longer than what both share with the hub), round by round, until none is left. There is no cap.
+    3. A window that no passage reaches, or that stands among several classes, is compared with its whole group, unless each
+       of its stretches has more shingles that nobody else in the group has than a near repeat may have. A window that a
+       passage leaves at one side meets those that have the same next stretch (an exact repeat that is longer than what
+       both share with the hub), round by round, until none is left. There is no cap.
 
     Null or short texts have no passages. Rows without a doc_id take no part. Rows of a repeated doc_id are one document,
     of which the texts count in turn; equal rows are one. Repeats within one document don't count. A very long text is
-    cut like any other; one that repeats itself is held to OFTEN places for each place compared, but for exact repeats.
+    cut like any other; what one repeats over and over is compared once for all equal surroundings.
     An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -660,7 +740,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(_keys, "key long, doc long")
     met = stash(rows.join(stash(_hubs(rows), "hubs", compact=True), "key"), "met", compact=True)
     found = _stars(texts, met.select("*", F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e")))
-    found = _more_hubs(texts, met, found)
     passages = found.where(F.col("kind") == _PASSAGE).select("doc", "other", "start", "stop")
     more = _rest(texts, met, found, passages)
     if more is not None:

@@ -330,3 +330,80 @@ def test_passages_repetitive(spark):
     texts = [(1, "same " * 20_000), (2, "same " * 20_001), (3, " ".join(line * 600)), (4, " ".join(["q"] + line * 500)), (5, "same " * 30)]
     got = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert {i: (r["class_id"], r["n_dup_words"]) for i, r in got.items()} == {1: (1, 20_000), 2: (1, 20_001), 3: (3, 18_000), 4: (3, 15_000)}
+
+
+def test_passages_often_shingles():
+    """A near copy of a line that a text repeats more than 16 times, whose shingles are all frequent there."""
+    import numpy as np
+
+    from lodestore.llm.tokens import mix, shingles
+
+    items = lambda w: shingles(mix(np.array(w, np.uint64)), SHINGLE)
+    line = list(range(1, 91))
+    near = line[:45] + [901] + line[46:]
+    many = [x for k in range(20) for x in line + list(range(1000 + 20 * k, 1020 + 20 * k))]
+    found = shared_passages(items(near), items(many))
+    assert {p for s, e, _, _ in found for p in range(s, e)} >= set(range(86))
+    # each repeat of the line is a passage, too
+    places = {p for _, _, s, e in found for p in range(s, e)}
+    assert all(set(range(110 * k, 110 * k + 86)) <= places for k in range(20))
+    assert {p for _, _, s, e in shared_passages(items(many), items(near)) for p in range(s, e)} >= set(range(86))
+
+
+def test_passages_every_partner():
+    """A document of which two open windows of one group are near to different partners of one class gets both passages."""
+    import numpy as np
+
+    from lodestore.llm import passages
+
+    words = np.random.default_rng(5).integers(1, 1 << 62, 400).astype(np.uint64)
+    one, two, gap, fill = (words[k : k + 60] for k in (0, 60, 120, 180))
+    asker = np.concatenate([one, gap, two])
+    items = [asker, np.concatenate([one, fill]), np.concatenate([two, fill])]
+    places = [np.arange(len(x)) for x in items]
+    runs = [np.array(r, np.int64) for r in ([[1, 2, 0, 14], [2, 2, 120, 134]], [[1, 0, 0, 14]], [[2, 0, 0, 14]])]
+    found = passages._near(items, places, runs, np.array([2, 0, 0]), np.array([7, 8, 9]), np.array([7, 8, 8]), np.zeros(3, int))
+    assert {(other, start, stop) for _, doc, other, start, stop, _, _ in found if doc == 7} == {(8, 0, 60), (9, 120, 180)}
+
+
+def test_passages_two_more_words():
+    """A stretch with two more words in its middle is near by 40 of its 46 shingles: 40 of 50 in all."""
+    import numpy as np
+
+    from lodestore.llm import passages
+    from lodestore.llm.tokens import mix, shingles
+
+    items = lambda w: shingles(mix(np.array(w, np.uint64)), SHINGLE)
+    a, b = items([*range(1, 25), 901, 902, *range(25, 49)]), items(list(range(1, 49)))
+    assert len(a) == 46 and len(set(a.tolist()) & set(b.tolist())) == 40
+    b = np.append(b, items([990, 991, 992, 993, 994, 995, 996]))
+    assert shared_passages(a, b)
+    found = passages._near([a, b], [np.arange(len(a)), np.arange(len(b))], [np.array([[1, 2, 0, 0]], np.int64), np.array([[1, 0, 0, len(b) - 46]], np.int64)], np.array([2, 0]), np.array([7, 8]), np.array([7, 8]), np.zeros(2, int))
+    assert {doc for _, doc, *_ in found} == {7, 8}
+
+
+def test_passages_open_window_without_company():
+    """Windows with more shingles of their own than a near repeat may have are held against no other, however many meet."""
+    import numpy as np
+
+    from lodestore.llm import passages
+
+    rng = np.random.default_rng(6)
+    line = rng.integers(1, 1 << 62, 36).astype(np.uint64)
+    items = [np.concatenate([line, rng.integers(1, 1 << 62, 10).astype(np.uint64)]) for _ in range(400)]
+    items.append(np.concatenate([items[17][:20], line[:1] + np.uint64(1), items[17][21:]]))
+    n = len(items)
+    made = []
+    text = passages.Text
+
+    class Counted(text):
+        def __init__(self, x):
+            made.append(1)
+            super().__init__(x)
+
+    passages.Text = Counted
+    try:
+        found = passages._near(items, [np.arange(46)] * n, [np.array([[1, 2, 0, 0]], np.int64)] * n, np.full(n, 2), np.arange(n), np.arange(n), np.zeros(n, int))
+    finally:
+        passages.Text = text
+    assert {doc for _, doc, *_ in found} == {17, 400} and len(made) == 2
