@@ -539,6 +539,10 @@ def _near_starts(w: np.ndarray, where: np.ndarray, b: Text) -> np.ndarray:
         hit = held & (np.abs(offset - d) <= GAP)
         i, total = np.flatnonzero(hit), np.append(0, np.cumsum(hit))
         starts = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= _SHARED)
+        # a passage goes from a shared place to one, without gaps of more than GAP
+        runs = _stretches(i, GAP)
+        starts = starts[starts >= runs[0, 0]]
+        starts = starts[runs[np.searchsorted(runs[:, 0], starts, "right") - 1, 1] >= starts + LEAST]
         first, last = i[total[starts]], i[total[starts + LEAST] - 1]
         shared, span = total[starts + LEAST] - total[starts], j[last] - j[first] + LEAST - (last - first)
         near[starts[shared >= SIMILARITY * (LEAST + span - shared) - 1e-9]] = True
@@ -600,10 +604,19 @@ def _near(items: list[np.ndarray], places: list[np.ndarray], runs: list[np.ndarr
             shared += np.bincount(np.concatenate([posted[heads[i] : heads[i + 1]] for i in wanted.tolist()]), minlength=len(cols))
         near = np.flatnonzero((shared >= need) & (docs[cols] != docs[k]))
         todo = whole & begins[k][where[: 1 - LEAST]]
+        mine, tried = np.unique(w), set()
         for c in cols[near[np.lexsort((docs[cols[near]], -shared[near]))]].tolist():
             same = root[c] == root[k]
             if same and not todo.any():
                 continue
+            # what holds the same of the asking windows in the same order has the same passages with them
+            slot = np.minimum(np.searchsorted(mine, items[c]), len(mine) - 1)
+            slot[mine[slot] != items[c]] = -1
+            ends = np.flatnonzero(slot >= 0)
+            alike = slot[ends[0] : ends[-1] + 1].tobytes() if len(ends) else b""
+            if same and alike in tried:
+                continue
+            tried.add(alike)
             for t in (k, c):
                 if t not in made:
                     made[t] = Text(items[t])

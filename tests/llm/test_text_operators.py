@@ -407,3 +407,20 @@ def test_passages_open_window_without_company():
     finally:
         passages.Text = text
     assert {doc for _, doc, *_ in found} == {17, 400} and len(made) == 2
+
+
+def test_passages_equal_partners(monkeypatch):
+    """Partners that hold the same of a window are compared once, even where one of its stretches stays open."""
+    import numpy as np
+
+    from lodestore.llm import passages
+
+    rng = np.random.default_rng(7)
+    one, two = (rng.integers(1, 1 << 62, 60).astype(np.uint64) for _ in range(2))
+    asker = np.concatenate([one, rng.integers(1, 1 << 62, 60).astype(np.uint64), two, two[:3]])
+    items = [asker] + [np.concatenate([one, rng.integers(1, 1 << 62, 40).astype(np.uint64)]) for _ in range(50)]
+    n, calls, compare = len(items), [], passages.shared_passages
+    monkeypatch.setattr(passages, "shared_passages", lambda a, b: calls.append(1) or compare(a, b))
+    runs = [np.array([[1, 2, 0, 14], [2, 2, 120, 137]], np.int64)] + [np.array([[1, 0, 0, 14]], np.int64)] * (n - 1)
+    found = passages._near(items, [np.arange(len(x)) for x in items], runs, np.array([2] + [0] * (n - 1)), np.arange(n), np.array([0] + [1] * (n - 1)), np.zeros(n, int))
+    assert {(start, stop) for _, doc, _, start, stop, _, _ in found if doc == 0} == {(0, 60)} and len(calls) == 1
