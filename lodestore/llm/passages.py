@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.components import components
-from lodestore.llm.shared import among, apart, few, small_batches, stash
+from lodestore.llm.shared import among, apart, few, small_batches, stash, stash_at, unstash
 from lodestore.llm.tokens import ALNUM, hashed_texts, mix, pieces, powers, shingles, text_buffers, word_hashes
 
 #: Words of a shingle, and of the shortest passage that counts.
@@ -33,10 +33,14 @@ MARGIN = LEAST
 OFTEN = 16
 #: Places that two texts share and that are held at once, if no passage's length has more.
 PLACES = 1 << 22
+#: Places around the first seeds of two texts that are looked at together; later turns take more.
+FIRST = 1 << 10
 #: Documents that one task compares with their hub.
 PART = 256
 #: Documents of one side of a group's open windows that are compared in one task.
 BLOCK = 8192
+#: Places of open windows that are sought in several documents at once.
+TURN = 1 << 17
 #: Rows of small groups that one task's turn compares, group by group.
 BUNDLE = 250
 
@@ -116,6 +120,38 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(ids[np.array(rows)[text[first]]])], names=["key", "doc"])
 
 
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, n, hub) of the keys that several documents have, from rows (key, doc) by key and doc. The hub is the
+    smallest of them; n is 2, or 3 for any more. At most two rows wait for the next batch, however long a group is."""
+    key, doc, gone = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def row(k: np.ndarray, d: np.ndarray, n: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, d, n.astype(np.int64), hub)], names=["key", "doc", "n", "hub"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, doc = (np.append(old, b.column(c).to_numpy(zero_copy_only=False)) for c, old in enumerate((key, doc)))
+        new = np.append(gone is None or (key[0], doc[0]) != (gone[0], gone[2]), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+        key, doc = key[new], doc[new]
+        if not len(key):
+            continue
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        rows = np.diff(np.append(heads, len(key)))
+        n, hub = np.minimum(rows, 3), doc[heads]
+        if gone is not None and key[0] == gone[0]:
+            n[0], hub[0] = 3, gone[1]
+        # the last group may go on
+        done = len(key) if n[-1] > 2 else heads[-1]
+        gone = (key[-1], hub[-1], doc[-1]) if n[-1] > 2 else None
+        take = np.flatnonzero(np.repeat(n > 1, rows)[:done])
+        if len(take):
+            yield row(key[take], doc[take], np.repeat(n, rows)[take], np.repeat(hub, rows)[take])
+        key, doc = key[done:], doc[done:]
+    if len(key) > 1:
+        yield row(key, doc, np.full(2, 2), np.full(2, doc[0]))
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -141,11 +177,16 @@ def _stretches(at: np.ndarray, gap: int) -> np.ndarray:
     return np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + 1], axis=1)
 
 
-def _full(inside: np.ndarray, stretches: np.ndarray) -> bool:
-    """Whether all places of the stretches that are long enough for a passage are inside."""
+def _covered(inside: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+    """Of which stretches all places are inside."""
     start, stop = stretches.T
     total = np.append(0, np.cumsum(inside))
-    return bool(((total[stop] - total[start] == stop - start) | (stop - start < LEAST)).all())
+    return total[stop] - total[start] == stop - start
+
+
+def _full(inside: np.ndarray, stretches: np.ndarray) -> bool:
+    """Whether all places of the stretches that are long enough for a passage are inside."""
+    return bool((_covered(inside, stretches) | (stretches[:, 1] - stretches[:, 0] < LEAST)).all())
 
 
 def _around(starts: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -324,11 +365,45 @@ def shared_passages(a: np.ndarray | Text, b: np.ndarray | Text) -> list[tuple[in
     if all(_full(inside, wide) for inside, wide in ((in_a, wide_a), (in_b, wide_b))):
         return out
     for i, j in _places(a, b, met_a, met_b):
-        _seeded(a, b, i, j, wide_a, wide_b, in_a, in_b, add)
+        _seeded(a, b, i, j, in_a, in_b, add)
     return out
 
 
-def _seeded(a: Text, b: Text, i: np.ndarray, j: np.ndarray, wide_a: np.ndarray, wide_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, add: Callable[[int, int, int, int], None]) -> None:
+def _reaches(i: np.ndarray, j: np.ndarray, start: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(reach of each seed, stretch of a, stretch of b of each reach): what a seed at ``start`` on offset d can be joined with
+    at most, as the places (i, j) of all bands of 2 * GAP offsets, without wider gaps than GAP in a."""
+    zone = (j - i + GAP) // (2 * GAP)
+    zone -= (least := int(zone.min()) - 1)
+    seeded = np.zeros(int(zone.max()) + 1, bool)
+    seeded[d // (2 * GAP) - least] = True
+    own, below = np.flatnonzero(seeded[zone]), np.flatnonzero(seeded[zone - 1])
+    cell = np.append(zone[own], zone[below] - 1) * n + np.append(i[own], i[below])
+    line = np.argsort(cell)
+    cell, line = cell[line], np.append(own, below)[line]
+    p, q = i[line], j[line]
+    heads = np.append(0, np.flatnonzero((np.diff(cell) > GAP + 1) | (np.diff(p) < 0)) + 1)
+    wide_a = np.stack([p[heads], np.append(p[heads[1:] - 1], p[-1]) + 1], axis=1)
+    wide_b = np.stack([np.minimum.reduceat(q, heads), np.maximum.reduceat(q, heads) + 1], axis=1)
+    return np.searchsorted(cell[heads], (d // (2 * GAP) - least) * n + start, "right") - 1, wide_a, wide_b
+
+
+def _bands(i: np.ndarray, j: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, p, q, heads): the places of each band low[k]:high[k] around an offset, by the place of a, and where a run without
+    wider gaps than GAP begins. One place of b for each of a, the one nearest to the offset; a cell is k * n + p."""
+    size = high - low
+    band = np.repeat(np.arange(len(low)), size)
+    at = np.arange(len(band)) + np.repeat(low - (np.cumsum(size) - size), size)
+    p, q = i[at], j[at]
+    off = q - p - offsets[band]
+    cell = band * n + p
+    line = np.argsort(cell * (2 * GAP + 2) + 2 * np.abs(off) + (off > 0))
+    line = line[np.append(True, np.diff(cell[line]) != 0)]
+    cell, p, q = cell[line], p[line], q[line]
+    heads = np.append(0, np.flatnonzero((np.diff(p) > GAP + 1) | (np.diff(band[line]) != 0)) + 1)
+    return cell, p, q, heads
+
+
+def _seeded(a: Text, b: Text, i: np.ndarray, j: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, add: Callable[[int, int, int, int], None]) -> None:
     """Adds the near-duplicate stretches around the unbroken runs of CONTEXT or more among the places (i, j)."""
     if not len(i):
         return
@@ -338,35 +413,36 @@ def _seeded(a: Text, b: Text, i: np.ndarray, j: np.ndarray, wide_a: np.ndarray,
     size = last - first + 1
     seeds = np.flatnonzero(size >= CONTEXT)
     seeds = seeds[np.argsort(-size[seeds], kind="stable")]
-    done: dict[int, list[tuple[int, int]]] = {}
-    tried: set[tuple[int, int, int, int]] = set()
+    start, d = i[first[seeds]], offset[first[seeds]]
+    low, high = np.searchsorted(offset, d - GAP, "left"), np.searchsorted(offset, d + GAP, "right")
     # a seed alone in its band has nothing to be joined with
-    low, high = np.searchsorted(offset, offset[first[seeds]] - GAP, "left"), np.searchsorted(offset, offset[first[seeds]] + GAP, "right")
-    for k, lo, hi in zip(seeds, low, high, strict=True):
-        if hi - lo == size[k]:
-            continue
-        d, s, z = int(offset[first[k]]), int(i[first[k]]), int(i[last[k]]) + 1
-        (s1, z1), (s2, z2) = (w[np.searchsorted(w[:, 0], at, "right") - 1] for w, at in ((wide_a, s), (wide_b, s + d)))
-        if in_a[s1:z1].all() and in_b[s2:z2].all():
-            continue
-        # a run on the same offset was joined with a longer one
-        if any(s >= start and z <= stop for start, stop in done.get(d, ())):
-            continue
-        p, q = i[lo:hi], j[lo:hi]
-        line = np.lexsort((np.abs(q - p - d), p))
-        p, q = p[line], q[line]
-        # one place of b for each of a: the one nearest to the offset
-        keep = np.append(True, p[1:] != p[:-1])
-        p, q = p[keep], q[keep]
-        gaps = np.flatnonzero(np.diff(p) > GAP + 1)
-        at = np.searchsorted(p[gaps], s, "left")
-        x, y = gaps[at - 1] + 1 if at else 0, gaps[at] + 1 if at < len(gaps) else len(p)
-        done.setdefault(d, []).append((int(p[x]), int(p[y - 1]) + 1))
-        whole = (*done[d][-1], int(q[x:y].min()), int(q[x:y].max()) + 1)
-        if whole[1] - whole[0] >= LEAST and whole not in tried and not (in_a[whole[0] : whole[1]].all() and in_b[whole[2] : whole[3]].all()):
-            tried.add(whole)
-            for found in _similar(a.items, b.items, p[x:y], q[x:y]):
-                add(*found)
+    left = np.flatnonzero(high - low > size[seeds])
+    if not len(left):
+        return
+    reach, wide_a, wide_b = _reaches(i, j, start, d, n := len(a.items))
+    left = left[(wide_a[:, 1] - wide_a[:, 0] >= LEAST)[reach[left]]]
+    tried: set[tuple[int, int, int, int]] = set()
+    most = FIRST
+    while len(left):
+        left = left[~(_covered(in_a, wide_a) & _covered(in_b, wide_b))[reach[left]]]
+        if not len(left):
+            return
+        # the longest seeds first, as they often leave nothing to the others
+        now = left[: max(1, int(np.searchsorted(np.cumsum(high[left] - low[left]), most, "right")))]
+        left, most = left[len(now) :], min(4 * most, PLACES >> 4)
+        offsets, where, band = np.unique(d[now], return_index=True, return_inverse=True)
+        cell, p, q, heads = _bands(i, j, offsets, low[now[where]], high[now[where]], n)
+        ends = np.append(heads[1:], len(p))
+        # seeds of one run are one, which comes where the longest of them does
+        runs, where = np.unique(np.searchsorted(heads, np.searchsorted(cell, band * n + start[now]), "right") - 1, return_index=True)
+        runs = runs[np.argsort(where)]
+        runs = runs[p[ends[runs] - 1] + 1 - p[heads[runs]] >= LEAST]
+        for x, y in zip(heads[runs].tolist(), ends[runs].tolist(), strict=True):
+            whole = (int(p[x]), int(p[y - 1]) + 1, int(q[x:y].min()), int(q[x:y].max()) + 1)
+            if whole not in tried and not (in_a[whole[0] : whole[1]].all() and in_b[whole[2] : whole[3]].all()):
+                tried.add(whole)
+                for found in _similar(a.items, b.items, p[x:y], q[x:y]):
+                    add(*found)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -521,31 +597,50 @@ def _distinct(x: np.ndarray) -> int:
     return int((np.lib.stride_tricks.sliding_window_view(before, LEAST) < np.arange(len(x) - LEAST + 1)[:, None]).sum(axis=1).min())
 
 
-def _near_starts(w: np.ndarray, where: np.ndarray, b: Text) -> np.ndarray:
-    """Which stretches of LEAST of the different items w, at the places ``where``, may be near to one of b: by the shingles
-    shared, and where none of b's stands twice, by the stretch of b that they span around an unbroken run of CONTEXT."""
-    at = np.minimum(np.searchsorted(b.ranked, w), len(b.ranked) - 1)
-    held = b.ranked[at] == w
-    total = np.append(0, np.cumsum(held))
-    many = total[LEAST:] - total[:-LEAST] >= _SHARED
-    if not b.plain or not many.any():
-        return many
-    j = b.places[at]
-    offset = np.where(held, j - where, 1 << 60)
-    cut = np.append(0, np.flatnonzero((np.diff(offset) != 0) | (np.diff(where) != 1)) + 1)
-    seeds = cut[(np.diff(np.append(cut, len(w))) >= CONTEXT) & held[cut]]
-    near = np.zeros(len(many), bool)
-    for d in np.unique(offset[seeds]).tolist():
-        hit = held & (np.abs(offset - d) <= GAP)
-        i, total = np.flatnonzero(hit), np.append(0, np.cumsum(hit))
-        starts = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= _SHARED)
-        # a passage goes from a shared place to one, without gaps of more than GAP
-        runs = _stretches(i, GAP)
-        starts = starts[starts >= runs[0, 0]]
-        starts = starts[runs[np.searchsorted(runs[:, 0], starts, "right") - 1, 1] >= starts + LEAST]
-        first, last = i[total[starts]], i[total[starts + LEAST] - 1]
-        shared, span = total[starts + LEAST] - total[starts], j[last] - j[first] + LEAST - (last - first)
-        near[starts[shared >= SIMILARITY * (LEAST + span - shared) - 1e-9]] = True
+def _windows(x: np.ndarray, size: int) -> np.ndarray:
+    """How many are true in each stretch of so many columns."""
+    total = np.zeros((len(x), x.shape[1] + 1), np.int32)
+    np.cumsum(x, axis=1, out=total[:, 1:])
+    return total[:, size:] - total[:, :-size]
+
+
+def _near_starts(j: np.ndarray, where: np.ndarray, plain: np.ndarray, asked: np.ndarray, known: dict[bytes, np.ndarray]) -> np.ndarray:
+    """Which stretches of LEAST of different items, at the places ``where``, may be near to one of each other text: by the
+    shingles shared, and in a text where none stands twice, by the stretch of it that they span around an unbroken run of
+    CONTEXT. A row of j has the items' places in one other text, -1 for those that it lacks; only the stretches that
+    ``asked`` names are looked at. ``known`` keeps what was found for what stands alike around a run."""
+    held = j >= 0
+    near = (_windows(held, LEAST) >= _SHARED) & asked
+    rows = np.flatnonzero(near.any(axis=1) & plain)
+    if not len(rows):
+        return near
+    near[rows] = False
+    held, asked = held[rows], asked[rows]
+    offset = np.where(held, j[rows] - where, 1 << 60)
+    on = (offset[:, 1:] == offset[:, :-1]) & held[:, 1:] & (np.diff(where) == 1)
+    row, x = np.nonzero(_windows(on, CONTEXT - 1) == CONTEXT - 1)
+    if not len(row):
+        return near
+    lines = np.unique(np.stack([row, offset[row, x]], axis=1), axis=0)
+    for at in range(0, len(lines), 256):
+        row, d = lines[at : at + 256].T
+        off = offset[row] - d[:, None]
+        hit = np.abs(off) <= GAP
+        enough = _windows(hit, LEAST) >= _SHARED
+        able = np.flatnonzero((enough & asked[row]).any(axis=1))
+        off = np.where(hit[able], off[able], GAP + 1).astype(np.int8)
+        for k, place in zip(able.tolist(), off, strict=True):
+            alike = place.tobytes()
+            if alike not in known:
+                starts, (i,), total = np.flatnonzero(enough[k]), np.nonzero(hit[k]), np.append(0, np.cumsum(hit[k]))
+                # a passage goes from a shared place to one, without gaps of more than GAP
+                runs = _stretches(i, GAP)
+                starts = starts[starts >= runs[0, 0]]
+                starts = starts[runs[np.searchsorted(runs[:, 0], starts, "right") - 1, 1] >= starts + LEAST]
+                first, last = i[total[starts]], i[total[starts + LEAST] - 1]
+                shared, span = total[starts + LEAST] - total[starts], where[last] + place[last] - where[first] - place[first] + LEAST - (last - first)
+                known[alike] = starts[shared >= SIMILARITY * (LEAST + span - shared) - 1e-9]
+            near[rows[row[k]], known[alike]] = True
     return near
 
 
@@ -580,6 +675,13 @@ def _near(items: list[np.ndarray], places: list[np.ndarray], runs: list[np.ndarr
     heads = np.append(0, np.cumsum(often))
     searched = set(docs[cols].tolist())
     made: dict[int, Text] = {}
+    # numbers for all shingles, and the texts in which none stands twice
+    names, codes = np.unique(np.concatenate(items), return_inverse=True)
+    bounds = np.append(0, np.cumsum([len(x) for x in items]))
+    each = np.sort(np.repeat(np.arange(len(items)), np.diff(bounds)) * len(names) + codes)
+    single = np.ones(len(items), bool)
+    single[each[1:][each[1:] == each[:-1]] // len(names)] = False
+    slots = np.full(len(names), -1)
     root = np.unique(classes, return_inverse=True)[1]
     out: list[tuple[int, ...]] = []
     for k in np.flatnonzero((asks > 0) & (side != 2)).tolist():
@@ -604,29 +706,46 @@ def _near(items: list[np.ndarray], places: list[np.ndarray], runs: list[np.ndarr
             shared += np.bincount(np.concatenate([posted[heads[i] : heads[i + 1]] for i in wanted.tolist()]), minlength=len(cols))
         near = np.flatnonzero((shared >= need) & (docs[cols] != docs[k]))
         todo = whole & begins[k][where[: 1 - LEAST]]
-        mine, tried = np.unique(w), set()
-        for c in cols[near[np.lexsort((docs[cols[near]], -shared[near]))]].tolist():
-            same = root[c] == root[k]
-            if same and not todo.any():
-                continue
-            # what holds the same of the asking windows in the same order has the same passages with them
-            slot = np.minimum(np.searchsorted(mine, items[c]), len(mine) - 1)
-            slot[mine[slot] != items[c]] = -1
-            ends = np.flatnonzero(slot >= 0)
-            alike = slot[ends[0] : ends[-1] + 1].tobytes() if len(ends) else b""
-            if same and alike in tried:
-                continue
-            tried.add(alike)
-            for t in (k, c):
-                if t not in made:
-                    made[t] = Text(items[t])
-            if plain and not ((todo if same else whole) & _near_starts(w, where, made[c])).any():
-                continue
-            for s, z, s2, z2 in shared_passages(made[k], made[c]):
-                todo = todo & ~((where[: 1 - LEAST] >= s) & (where[LEAST - 1 :] < z))
-                root[root == root[c]] = root[k]
-                out.append((_PASSAGE, int(docs[k]), int(docs[c]), int(places[k][s]), int(places[k][z - 1]) + 1, 0, 0))
-                out.append((_PASSAGE, int(docs[c]), int(docs[k]), int(places[c][s2]), int(places[c][z2 - 1]) + 1, 0, 0))
+        own = codes[bounds[k] + where]
+        mine = own if plain else np.unique(own)
+        slots[mine] = np.arange(len(mine))
+        partners, tried, turn, x = cols[near[np.lexsort((docs[cols[near]], -shared[near]))]], set(), 4, 0
+        known: dict[bytes, np.ndarray] = {}
+        while x < len(partners):
+            now = partners[x : x + turn]
+            x, turn = x + turn, max(4, min(4 * turn, TURN // len(where)))
+            if not todo.any():
+                now = now[root[now] != root[k]]
+                if not len(now):
+                    continue
+            froms = np.append(0, np.cumsum(bounds[now + 1] - bounds[now]))
+            slot = slots[np.concatenate([codes[bounds[c] : bounds[c + 1]] for c in now.tolist()])]
+            if plain:
+                at = np.flatnonzero(slot >= 0)
+                row = np.searchsorted(froms, at, "right") - 1
+                j = np.full((len(now), len(w)), -1)
+                j[row, slot[at]] = at - froms[row]
+                starts = _near_starts(j, where, single[now], np.where((root[now] == root[k])[:, None], todo, whole), known)
+            for r, c in enumerate(now.tolist()):
+                same = root[c] == root[k]
+                if same and not todo.any() or plain and not ((todo if same else whole) & starts[r]).any():
+                    continue
+                # what holds the same of the asking windows in the same order has the same passages with them
+                held = slot[froms[r] : froms[r + 1]]
+                ends = np.flatnonzero(held >= 0)
+                alike = held[ends[0] : ends[-1] + 1].tobytes() if len(ends) else b""
+                if same and alike in tried:
+                    continue
+                tried.add(alike)
+                for t in (k, c):
+                    if t not in made:
+                        made[t] = Text(items[t])
+                for s, z, s2, z2 in shared_passages(made[k], made[c]):
+                    todo = todo & ~((where[: 1 - LEAST] >= s) & (where[LEAST - 1 :] < z))
+                    root[root == root[c]] = root[k]
+                    out.append((_PASSAGE, int(docs[k]), int(docs[c]), int(places[k][s]), int(places[k][z - 1]) + 1, 0, 0))
+                    out.append((_PASSAGE, int(docs[c]), int(docs[k]), int(places[c][s2]), int(places[c][z2 - 1]) + 1, 0, 0))
+        slots[mine] = -1
     return out
 
 
@@ -750,8 +869,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         texts = texts.dropDuplicates(["doc_id", "t1", "t2"])
     texts = texts.select(F.col("doc_id").alias("doc"), "text")
 
-    rows = texts.mapInArrow(_keys, "key long, doc long")
-    met = stash(rows.join(stash(_hubs(rows), "hubs", compact=True), "key"), "met", compact=True)
+    rows, path = stash_at(texts.mapInArrow(_keys, "key long, doc long"), "rows")
+    small_batches(spark, 50_000)
+    met = stash(rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_shared_keys, "key long, doc long, n long, hub long"), "met", compact=True)
+    unstash(spark, path)
+    small_batches(spark, 250)
     found = _stars(texts, met.select("*", F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e")))
     passages = found.where(F.col("kind") == _PASSAGE).select("doc", "other", "start", "stop")
     more = _rest(texts, met, found, passages)

@@ -424,3 +424,60 @@ def test_passages_equal_partners(monkeypatch):
     runs = [np.array([[1, 2, 0, 14], [2, 2, 120, 137]], np.int64)] + [np.array([[1, 0, 0, 14]], np.int64)] * (n - 1)
     found = passages._near(items, [np.arange(len(x)) for x in items], runs, np.array([2] + [0] * (n - 1)), np.arange(n), np.array([0] + [1] * (n - 1)), np.zeros(n, int))
     assert {(start, stop) for _, doc, _, start, stop, _, _ in found if doc == 0} == {(0, 60)} and len(calls) == 1
+
+
+def test_passages_hashes_each_text_once_for_its_keys(spark, docs, monkeypatch, tmp_path):
+    from lodestore.llm import passages
+
+    keys, seen = passages._keys, str(tmp_path / "seen")
+
+    def counted(batches):
+        def each():
+            for b in batches:
+                with open(seen, "a") as to:
+                    to.write("".join(f"{d}\n" for d in b.column(0).to_pylist()))
+                yield b
+
+        return keys(each())
+
+    monkeypatch.setattr(passages, "_keys", counted)
+    assert repeated_passages(docs.where("doc_id < 60")).count()
+    with open(seen) as lines:
+        assert max(collections.Counter(lines).values()) == 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_passages_shared_keys(size):
+    """Keys of several documents, whatever batches their rows come in; a repeated row is one."""
+    import pyarrow as pa
+
+    from lodestore.llm import passages
+
+    rng = random.Random(size)
+    rows = sorted((k, rng.randrange(40)) for k in range(-30, 30) for _ in range(rng.choice([1, 1, 2, 3, 4, 9, 30])))
+    batches = [pa.record_batch({"key": [k for k, _ in rows[i : i + size]], "doc": [d for _, d in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+    groups = collections.defaultdict(set)
+    for k, d in rows:
+        groups[k].add(d)
+    found = [tuple(r.values()) for b in passages._shared_keys(iter(batches)) for r in b.to_pylist()]
+    assert found == [(k, d, min(len(of), 3), min(of)) for k, of in sorted(groups.items()) if len(of) > 1 for d in sorted(of)]
+
+
+def test_passages_seeds_without_reach(monkeypatch):
+    """Of words that two texts repeat over and over, no offset is looked at that leads to no open stretch of a passage's length."""
+    import numpy as np
+
+    from lodestore.llm import passages
+
+    rng = np.random.default_rng(8)
+    new = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    often, line = np.repeat(new(1), 40), new(60)
+    a, b = (np.concatenate([often, new(60), line[:30], line[30 + k :], new(60), often]) for k in (0, 1))
+    looked, similar = [], []
+    lexsort, argsort, compare = np.lexsort, np.argsort, passages._similar
+    monkeypatch.setattr(np, "lexsort", lambda keys, *x: looked.append(len(keys[0])) or lexsort(keys, *x))
+    monkeypatch.setattr(np, "argsort", lambda keys, *x, **y: looked.append(len(keys)) or argsort(keys, *x, **y))
+    monkeypatch.setattr(passages, "_similar", lambda *x: similar.append(1) or compare(*x))
+    found = shared_passages(a, b)
+    assert (100, 160, 100, 159) in found and len(similar) == 1
+    assert sum(looked) < 8 * 40 * 40 * 4
