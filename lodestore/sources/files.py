@@ -9,9 +9,11 @@ import struct
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +24,7 @@ from lodestore.storage import scratch_path
 
 #: The largest upload (fixed value: 10 GiB).
 UPLOAD_BYTES = 10 << 30
-#: Whole archives and files are cells of a table: one may hold 2 GiB at most.
+#: Files are cells of a table: one may hold 2 GiB at most. So are archives in a store that only Spark reads.
 BINARY_FIELDS = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -59,51 +61,87 @@ def directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFr
     return with_file_ord(found, then=F.col("path")).select("file_id", "file_ord", "bytes")
 
 
-def _entries(kind: str):
-    def tar(content: bytes) -> Iterator[tuple[str, bytes]]:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-            for m in t:
-                if m.isreg():
-                    yield m.name, t.extractfile(m).read()
-
-    def zip_(content: bytes) -> Iterator[tuple[str, bytes]]:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for m in z.infolist():
-                if not m.is_dir():
-                    yield m.filename, z.read(m)
-
-    read = {"tar": tar, "zip": zip_}[kind]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, held = [], 0
-                for at, (name, data) in enumerate(read(bytes(content))):
-                    rows.append((path, at, name, data))
-                    held += len(data)
-                    if held > 16 << 20:
-                        yield pd.DataFrame(rows, columns=["path", "at", "file_id", "bytes"])
-                        rows, held = [], 0
-                yield pd.DataFrame(rows, columns=["path", "at", "file_id", "bytes"])
+def _tar_members(file: BinaryIO) -> Iterator[tuple[tarfile.TarFile, tarfile.TarInfo]]:
+    with tarfile.open(fileobj=file, mode="r:*") as t:
+        while (m := t.next()) is not None:
+            if m.isreg():
+                yield t, m
+            t.members = []  # else it keeps a record of every entry that was passed
+
+
+def _zip_members(file: BinaryIO) -> Iterator[tuple[zipfile.ZipFile, zipfile.ZipInfo]]:
+    with zipfile.ZipFile(file) as z:
+        z.NameToInfo.clear()
+        for m in z.infolist():
+            if not m.is_dir():
+                yield z, m
+
+
+def _opened(path: str, content: bytes | None) -> BinaryIO:
+    return io.BytesIO(content) if content is not None else open(_mounted(path), "rb")
+
+
+def _mounted(path: str) -> str:
+    """The path in the mounted file system of a "file:" path as Spark shows it."""
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _entries(kind: str, with_data: bool):
+    """Over (path[, content]): (path, at, file_id, bytes) of the entries, or (path, n, size) of each archive. An archive is
+    read one entry at a time; about 16 MB wait to be given on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = _tar_members if kind == "tar" else _zip_members
+        for b in batches:
+            for i in range(b.num_rows):
+                path, rows, held, n, total = b.column(0)[i].as_py(), [], 0, 0, 0
+                with _opened(path, b.column(1)[i].as_py() if b.num_columns > 1 else None) as file:
+                    for at, (whole, m) in enumerate(members(file)):
+                        n, total = n + 1, total + (m.size if kind == "tar" else m.file_size)
+                        if with_data:
+                            data = whole.extractfile(m).read() if kind == "tar" else whole.read(m)
+                            rows.append((path, at, m.name if kind == "tar" else m.filename, data))
+                            held += len(data)
+                            if held > 16 << 20 or len(rows) == 10_000:
+                                yield _batch(rows, _ENTRY)
+                                rows, held = [], 0
+                yield _batch(rows, _ENTRY) if with_data else _batch([(path, n, total)], _TOTAL)
 
     return run
 
 
-def _archive(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    found = _binary(spark, path).select("path", "content").mapInPandas(_entries(kind), "path string, at int, file_id string, bytes binary")
-    order = found.groupBy("path").agg(F.count("*").alias("n"))
-    before = order.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return found.join(before, "path").select("file_id", (F.col("before") + F.col("at")).alias("file_ord"), "bytes")
+_ENTRY = pa.schema([("path", pa.string()), ("at", pa.int64()), ("file_id", pa.string()), ("bytes", pa.binary())])
+_TOTAL = pa.schema([("path", pa.string()), ("n", pa.int64()), ("size", pa.int64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _archive(spark: SparkSession, path: str | list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+    """The files of archives, and (path, n, size) of each archive, which is made without reading the files' bytes.
+
+    Archives of the mounted file system are read as they are passed; those of a store that only Spark reads are cells.
+    """
+    found = _binary(spark, path)
+    stored = found.where(~F.col("path").startswith("file:")).select("path").limit(1).count() > 0
+    found = found.select("path", "content") if stored else found.select("path").repartition("path")
+    totals = found.mapInArrow(_entries(kind, False), "path string, n long, size long")
+    before = totals.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    entries = found.mapInArrow(_entries(kind, True), "path string, at long, file_id string, bytes binary")
+    files = entries.join(F.broadcast(before), "path").select("file_id", (F.col("before") + F.col("at")).alias("file_ord"), "bytes")
+    return files, totals
 
 
 def tar(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file_id, file_ord, bytes) of the regular entries of tar, tar.gz and tgz archives, one task an archive."""
-    return _archive(spark, path, "tar")
+    return _archive(spark, path, "tar")[0]
 
 
 def zipped(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file_id, file_ord, bytes) of the file entries of zip archives."""
-    return _archive(spark, path, "zip")
+    return _archive(spark, path, "zip")[0]
 
 
 def open_any(spark: SparkSession, path: str) -> DataFrame:
@@ -122,25 +160,36 @@ def write_archives(files: DataFrame, folder: str, kind: str = "tar", parts: int
     if kind not in ("tar", "zip"):
         raise ValueError(f"unknown archive format: {kind}")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        path = os.path.join(folder, f"part-{key[0]:05d}.{kind}")
-        rows = pdf.sort_values("file_ord")
-        with tarfile.open(path, "w") if kind == "tar" else zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for name, data in zip(rows["file_id"], rows["bytes"], strict=True):
-                if kind == "zip":
-                    out.writestr(name, bytes(data))
-                else:
-                    entry = tarfile.TarInfo(name)
-                    entry.size = len(data)
-                    out.addfile(entry, io.BytesIO(bytes(data)))
-        return pd.DataFrame({"path": [path]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, out = None, None
+        try:
+            for b in batches:
+                for i in range(b.num_rows):
+                    own, name, data = (b.column(k)[i].as_py() for k in range(3))
+                    if own != part:
+                        if out is not None:
+                            out.close()
+                        part, path = own, os.path.join(folder, f"part-{own:05d}.{kind}")
+                        out = tarfile.open(path, "w") if kind == "tar" else zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
+                    if kind == "zip":
+                        out.writestr(name, data)
+                    else:
+                        entry = tarfile.TarInfo(name)
+                        entry.size = len(data)
+                        out.addfile(entry, io.BytesIO(data))
+                        out.members = []  # else it keeps a record of every entry
+        finally:
+            if out is not None:
+                out.close()
+        yield from ()
 
     os.makedirs(folder, exist_ok=True)
     last = files.agg(F.max("file_ord")).first()[0]
     span = ((last or 0) + parts) // parts
-    placed = files.select("file_id", "file_ord", "bytes", F.floor(F.col("file_ord") / span).cast("int").alias("part"))
+    placed = files.select(F.floor(F.col("file_ord") / span).cast("int").alias("part"), "file_id", "bytes", "file_ord")
     ship(files.sparkSession)
-    placed.groupBy("part").applyInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+    # Spark's sort spills where a part doesn't fit; the writer holds one batch
+    placed.repartition("part").sortWithinPartitions("part", "file_ord").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 def uploaded(spark: SparkSession, path: str, name: str, most: int = UPLOAD_BYTES) -> DataFrame:
@@ -150,8 +199,8 @@ def uploaded(spark: SparkSession, path: str, name: str, most: int = UPLOAD_BYTES
     """
     if not name or ".." in name or "/" in name or "\\" in name:
         raise ValueError(f"unsafe archive name {name!r}")
-    files = tar(spark, path)
-    if (files.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0) > most:
+    files, totals = _archive(spark, path, "tar")
+    if (totals.agg(F.sum("size")).first()[0] or 0) > most:
         raise ValueError(f"the upload is larger than {most} bytes")
     return files
 
