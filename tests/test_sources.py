@@ -8,7 +8,9 @@ import zipfile
 import pyarrow as pa
 import pytest
 
+from lodestore.operators.archive import Archive
 from lodestore.sources import files as sources
+from lodestore.streaming.ingest import ingest_folder
 
 KIND = "file_id string, file_ord long, bytes binary"
 
@@ -42,3 +44,20 @@ def test_parts_keep_order(spark, tmp_path, kind):
     found = read(spark, folder).orderBy("file_ord").collect()
     assert [(r["file_id"], r["file_ord"], bytes(r["bytes"])) for r in found] == [(n, k, bytes(b)) for k, (n, _, b) in enumerate(rows)]
     sources.write_archives(spark.createDataFrame([], KIND), str(tmp_path / "none"), kind, parts=4)
+
+
+def test_empty_files(spark, tmp_path):
+    files = {"a": b"x", "empty": b"", "s p%41+": b"", "z%20": b"zz"}
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    found = sources.directory(spark, str(tmp_path / "in")).orderBy("file_ord").collect()
+    assert [(r["file_id"], bytes(r["bytes"])) for r in found] == sorted(files.items())
+    path = str(tmp_path / "a")
+    spark.conf.set("spark.sql.streaming.fileSource.log.compactInterval", "2")
+    ingest_folder(spark, str(tmp_path / "in"), path, str(tmp_path / "c"), files_per_batch=2).awaitTermination()
+    assert {r["file_id"]: bytes(r["bytes"]) for r in Archive(spark, path).read().collect()} == files
+    (tmp_path / "in" / "later").write_bytes(b"")
+    ingest_folder(spark, str(tmp_path / "in"), path, str(tmp_path / "c")).awaitTermination()
+    spark.conf.unset("spark.sql.streaming.fileSource.log.compactInterval")
+    assert Archive(spark, path).files.count() == 5
