@@ -70,13 +70,21 @@ def search_batch(index: DataFrame, queries: DataFrame, k: int, block: int = QUER
                 if not batch.num_rows or not len(qids):
                     continue
                 names = np.array(batch.column(0).to_pylist())
-                x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(names), q.shape[1])
                 length = np.sqrt((x * x).sum(axis=1))
                 names, x = names[length > 0], x[length > 0] / length[length > 0, None]
                 score = q @ x.T
                 keep = min(k, score.shape[1])
-                rows = [(i, j) for i in range(len(qids)) for j in np.lexsort((names, -score[i]))[:keep]]
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i, _ in rows]), pa.array([names[j] for _, j in rows]), pa.array([float(score[i, j]) for i, j in rows], pa.float64())], names=["query_id", "file_id", "score"])
+                if not keep:
+                    continue
+                # all that reach a query's k-th score, in its order; of equal ones the smaller ids
+                least = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
+                i, j = np.nonzero(score >= least[:, None])
+                order = np.lexsort((names[j], -score[i, j], i))
+                i, j = i[order], j[order]
+                chosen = np.arange(len(i)) - np.searchsorted(i, i) < keep
+                i, j = i[chosen], j[chosen]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(names[j]), pa.array(score[i, j])], names=["query_id", "file_id", "score"])
 
         kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, file_id {index.schema['file_id'].dataType.simpleString()}, score double"
         part = index.select("file_id", F.col("vector").cast("array<double>")).mapInArrow(run, kind)
